@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.llm import bpe, packing
+from orrery.llm import bpe, jaccard, packing
 
-MODULES = (packing, bpe)
+MODULES = (jaccard, packing, bpe)
 
 
 def queries() -> dict:
