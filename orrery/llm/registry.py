@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.llm import bpe, jaccard, packing
+from orrery.llm import bpe, fingerprint, jaccard, packing
 
-MODULES = (jaccard, packing, bpe)
+MODULES = (fingerprint, jaccard, packing, bpe)
 
 
 def queries() -> dict:
