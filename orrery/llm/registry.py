@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.llm import bpe, fingerprint, jaccard, packing
+from orrery.llm import bpe, fingerprint, jaccard, language, packing
 
-MODULES = (fingerprint, jaccard, packing, bpe)
+MODULES = (language, fingerprint, jaccard, packing, bpe)
 
 
 def queries() -> dict:
