@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.llm import bpe, fingerprint, jaccard, language, packing
+from orrery.llm import bpe, fingerprint, jaccard, language, packing, topk
 
-MODULES = (language, fingerprint, jaccard, packing, bpe)
+MODULES = (topk, language, fingerprint, jaccard, packing, bpe)
 
 
 def queries() -> dict:
