@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.llm import bpe, fingerprint, jaccard, language, packing, topk
+from orrery.llm import bpe, fingerprint, jaccard, language, packing, pii, secrets, topk
 
-MODULES = (topk, language, fingerprint, jaccard, packing, bpe)
+MODULES = (secrets, pii, topk, language, fingerprint, jaccard, packing, bpe)
 
 
 def queries() -> dict:
