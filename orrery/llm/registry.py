@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.llm import bpe, fingerprint, jaccard, language, packing, pii, secrets, topk
+from orrery.llm import bpe, fingerprint, jaccard, language, licenses, packing, pii, secrets, topk, urlfilter
 
-MODULES = (secrets, pii, topk, language, fingerprint, jaccard, packing, bpe)
+MODULES = (urlfilter, licenses, secrets, pii, topk, language, fingerprint, jaccard, packing, bpe)
 
 
 def queries() -> dict:
