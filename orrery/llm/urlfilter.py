@@ -66,7 +66,7 @@ def demo_entries(captures: DataFrame) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages have no fetch time: the day is 2024-01-01 plus page_id modulo 365."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(page_id % 365 as int))").alias("fetched"))
-    return judge(pages, demo_entries(pages)).select("page_id", "host", "fetched", "n_active", "categories", "blocked")
+    return judge(pages, demo_entries(pages)).select("page_id", "host", F.col("fetched").cast("string").alias("fetched"), "n_active", "categories", "blocked")
 
 
 QUERIES = {"op6_url_filter": op6_url_filter}
@@ -86,7 +86,7 @@ v AS (SELECT *, lead(day) OVER (PARTITION BY suffix, category ORDER BY day) AS v
 hit AS (
   SELECT p.page_id, v.category FROM p JOIN v ON (p.host = v.suffix OR ends_with(p.host, '.' || v.suffix))
   WHERE v.added AND v.day <= p.fetched AND (v.valid_to IS NULL OR p.fetched < v.valid_to))
-SELECT p.page_id, p.host, p.fetched, count(h.category) AS n_active, coalesce(string_agg(DISTINCT h.category, ',' ORDER BY h.category), '') AS categories, count(h.category) > 0 AS blocked
+SELECT p.page_id, p.host, CAST(p.fetched AS VARCHAR) AS fetched, count(h.category) AS n_active, coalesce(string_agg(DISTINCT h.category, ',' ORDER BY h.category), '') AS categories, count(h.category) > 0 AS blocked
 FROM p LEFT JOIN hit h ON p.page_id = h.page_id GROUP BY p.page_id, p.host, p.fetched
 """
 }
