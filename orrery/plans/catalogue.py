@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from orrery.plans import resolution
+
+MODULES = (resolution,)
 
 
 def queries() -> dict:
