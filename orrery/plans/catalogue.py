@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import resolution
+from orrery.plans import entities, resolution
 
-MODULES = (resolution,)
+MODULES = (resolution, entities)
 
 
 def queries() -> dict:
