@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import entities, resolution
+from orrery.plans import entities, resolution, selection
 
-MODULES = (resolution, entities)
+MODULES = (resolution, entities, selection)
 
 
 def queries() -> dict:
