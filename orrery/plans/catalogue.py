@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import entities, resolution, selection
+from orrery.plans import entities, resolution, selection, studies
 
-MODULES = (resolution, entities, selection)
+MODULES = (resolution, entities, selection, studies)
 
 
 def queries() -> dict:
