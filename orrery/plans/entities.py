@@ -10,7 +10,9 @@ from orrery.plans.common import SUPPORT, WINDOWS
 from orrery.plans.resolution import BLOCKING, DIVERGED, ORDERS, diverged, orders
 from orrery.runtime import table
 
-n_rows = F.count(F.lit(1))
+
+def n_rows():
+    return F.count(F.lit(1))
 
 
 def q16(spark, d):
@@ -27,7 +29,7 @@ RANGES = [(1, 10, "small"), (11, 20, "medium"), (21, 35, "large"), (41, 50, "bul
 
 def q17(spark, d):
     ranges = spark.createDataFrame(RANGES, "lo int, hi int, family string")
-    return C.code_family(table(spark, d, "part"), "p_size", ranges).groupBy("family").agg(n_rows.alias("n"), F.min("p_size").alias("lowest"), F.max("p_size").alias("highest"))
+    return C.code_family(table(spark, d, "part"), "p_size", ranges).groupBy("family").agg(n_rows().alias("n"), F.min("p_size").alias("lowest"), F.max("p_size").alias("highest"))
 
 
 Q17 = "WITH f AS (SELECT p_size, CASE WHEN p_size BETWEEN 1 AND 10 THEN 'small' WHEN p_size BETWEEN 11 AND 20 THEN 'medium' WHEN p_size BETWEEN 21 AND 35 THEN 'large' WHEN p_size BETWEEN 41 AND 50 THEN 'bulk' ELSE 'unmapped' END AS family FROM part) SELECT family, count(*) AS n, min(p_size) AS lowest, max(p_size) AS highest FROM f GROUP BY 1"
@@ -62,7 +64,7 @@ SELECT s_suppkey, CASE WHEN len(l) > 1 THEN 'conflicting' WHEN len(l) = 1 THEN l
 
 def flags(spark, d):
     o = orders(spark, d)
-    by = o.groupBy("o_custkey").agg(n_rows.alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_f"), F.count_if(F.col("accepted").isNull()).alias("blank"), F.max("o_totalprice").alias("top"), F.count_distinct("o_orderpriority").alias("priorities"))
+    by = o.groupBy("o_custkey").agg(n_rows().alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_f"), F.count_if(F.col("accepted").isNull()).alias("blank"), F.max("o_totalprice").alias("top"), F.count_distinct("o_orderpriority").alias("priorities"))
     return by.select("o_custkey", "n", "blank", F.array_join(S.reasons(many=F.col("n") > 14, large=F.col("top") > 490000, all_priorities=F.col("priorities") == 5, half_f=2 * F.col("n_f") > F.col("n")), "+").alias("flags"))
 
 
@@ -174,7 +176,7 @@ SELECT o_orderkey, CAST(root AS VARCHAR) AS root, depth::BIGINT AS depth, outcom
 
 
 def q27(spark, d):
-    return G.lineage(chain(spark, d).where("o_orderkey % 13 <> 0"), "o_orderkey", "parent", 6).groupBy("o_orderkey").agg(n_rows.alias("n_ancestors"), F.max("depth").cast("long").alias("depth"), F.min("ancestor").alias("oldest"))
+    return G.lineage(chain(spark, d).where("o_orderkey % 13 <> 0"), "o_orderkey", "parent", 6).groupBy("o_orderkey").agg(n_rows().alias("n_ancestors"), F.max("depth").cast("long").alias("depth"), F.min("ancestor").alias("oldest"))
 
 
 Q27 = f"""
@@ -194,7 +196,7 @@ Q28 = 'SELECT a.s_suppkey AS "left", b.s_suppkey AS "right", count(*) AS n_share
 def q29(spark, d):
     o = table(spark, d, "orders").where("o_orderkey % 10 <> 3").select(F.col("o_orderkey").alias("k"), F.year("o_orderdate").cast("string").alias("y"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("s"))
     li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.year(F.min("l_shipdate")).cast("string").alias("y2"), F.lit("F").alias("s2"), F.max("l_quantity").alias("q"))
-    return X.reconcile(o, li, "k", {"y": "y2", "s": "s2"}, F.col("q") > 5).groupBy("state").agg(n_rows.alias("n"), F.min("k").alias("lowest"), F.sum("k").alias("total"))
+    return X.reconcile(o, li, "k", {"y": "y2", "s": "s2"}, F.col("q") > 5).groupBy("state").agg(n_rows().alias("n"), F.min("k").alias("lowest"), F.sum("k").alias("total"))
 
 
 Q29 = """
@@ -221,9 +223,9 @@ Q31 = "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM
 
 
 def q32(spark, d):
-    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(n_rows.alias("n_lines"), F.min("l_linenumber").alias("first_line"))
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(n_rows().alias("n_lines"), F.min("l_linenumber").alias("first_line"))
     o = table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return o.agg(n_rows.alias("n_orders"), F.count_if(F.col("n_lines").isNull()).alias("n_empty"), F.count_if(F.col("first_line") > 1).alias("n_late_start"), F.sum(F.coalesce("n_lines", F.lit(0))).alias("n_lines"), F.max("n_lines").alias("most"))
+    return o.agg(n_rows().alias("n_orders"), F.count_if(F.col("n_lines").isNull()).alias("n_empty"), F.count_if(F.col("first_line") > 1).alias("n_late_start"), F.sum(F.coalesce("n_lines", F.lit(0))).alias("n_lines"), F.max("n_lines").alias("most"))
 
 
 Q32 = """
@@ -248,7 +250,7 @@ SELECT k, n_union, n_submissions, n_index, uncorroborated, n_bindable, CAST(CASE
 def q34(spark, d):
     li, s = table(spark, d, "lineitem"), table(spark, d, "supplier")
     one = li.select("l_orderkey", "l_suppkey").distinct().join(F.broadcast(s.select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
-    return one.groupBy("s_nationkey").agg(F.count_distinct("l_orderkey").alias("n_filings"), n_rows.alias("n_attributions"))
+    return one.groupBy("s_nationkey").agg(F.count_distinct("l_orderkey").alias("n_filings"), n_rows().alias("n_attributions"))
 
 
 Q34 = "SELECT s_nationkey, count(DISTINCT l_orderkey) AS n_filings, count(DISTINCT l_orderkey * 1000000 + l_suppkey) AS n_attributions FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1"
@@ -273,7 +275,7 @@ Q36 = "SELECT c_nationkey AS nation, 'customer' AS kind FROM customer WHERE c_ac
 
 def q37(spark, d):
     o, li, e = (table(spark, d, t) for t in ("orders", "lineitem", "events"))
-    parts = [Q.metric(o, "orders", n_rows), Q.metric(li.where("l_quantity > 1000"), "huge_lines", n_rows), Q.metric(e.where("event_type = 'none'"), "last_missing", F.max("event_id")), Q.metric(li, "distinct_suppliers", F.count_distinct("l_suppkey")), Q.metric(e, "refunds", n_rows, blocked=True)]
+    parts = [Q.metric(o, "orders", n_rows()), Q.metric(li.where("l_quantity > 1000"), "huge_lines", n_rows()), Q.metric(e.where("event_type = 'none'"), "last_missing", F.max("event_id")), Q.metric(li, "distinct_suppliers", F.count_distinct("l_suppkey")), Q.metric(e, "refunds", n_rows(), blocked=True)]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -287,7 +289,7 @@ UNION ALL SELECT 'distinct_suppliers', 'value', count(DISTINCT l_suppkey)::DOUBL
 
 
 def q38(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderpriority", F.substring(F.date_format("o_orderdate", "yyyy-MM-dd"), 1, 4).alias("year")).agg(n_rows.alias("n"), F.coalesce(F.sum(F.when(F.col("o_orderstatus") == "P", 1)), F.lit(0)).alias("n_p"))
+    return table(spark, d, "orders").groupBy("o_orderpriority", F.substring(F.date_format("o_orderdate", "yyyy-MM-dd"), 1, 4).alias("year")).agg(n_rows().alias("n"), F.coalesce(F.sum(F.when(F.col("o_orderstatus") == "P", 1)), F.lit(0)).alias("n_p"))
 
 
 Q38 = "SELECT o_orderpriority, strftime(o_orderdate, '%Y') AS year, count(*) AS n, coalesce(sum(CASE WHEN o_orderstatus = 'P' THEN 1 END), 0)::BIGINT AS n_p FROM orders GROUP BY 1, 2"
@@ -301,7 +303,7 @@ Q39 = "SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS n_days, count(DISTINC
 
 
 def q40(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.when(F.col("l_linenumber") == 1, 1).otherwise(0)).alias("n_first"), n_rows.alias("n"))
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.when(F.col("l_linenumber") == 1, 1).otherwise(0)).alias("n_first"), n_rows().alias("n"))
     return g.where("n_first <> CASE WHEN n > 5 THEN 2 ELSE 1 END")
 
 
@@ -368,7 +370,7 @@ SELECT * FROM j WHERE change IS NOT NULL
 
 def q46(spark, d):
     v = diverged(spark, d)
-    return Q.gates(v, some_rows=n_rows > 0, none_crossing=F.count_if("crossing") == 0, few_blocking=F.count_if(T.divergence_blocks(F.col("rule"))) * 10 < n_rows * 9, all_dated=F.bool_and(F.col("shipped").isNotNull()))
+    return Q.gates(v, some_rows=n_rows() > 0, none_crossing=F.count_if("crossing") == 0, few_blocking=F.count_if(T.divergence_blocks(F.col("rule"))) * 10 < n_rows() * 9, all_dated=F.bool_and(F.col("shipped").isNotNull()))
 
 
 Q46 = f"""

@@ -9,7 +9,9 @@ from orrery.operators import graph as G, quality as Q, reconcile as X, resolve a
 from orrery.runtime import table
 from orrery.sources import fixed_text, html, json_arrays as J
 
-n_rows = F.count(F.lit(1))
+
+def n_rows():
+    return F.count(F.lit(1))
 
 
 def nested(spark, d):
@@ -34,7 +36,7 @@ def q53(spark, d):
     doc = F.when(k == 0, F.concat(F.lit('{"r": '), F.col("props"), F.lit("}"))).when(k == 1, '{"r": {}}').when(k == 2, '{"r": [1]}').when(k == 3, "{broken").when(k == 4, '{"x": 1}').otherwise(F.col("props"))
     e = table(spark, d, "events").withColumn("doc", doc)
     v = e.select(J.region_verdict(F.col("doc"), "$.r").alias("region"), J.schema_drift(F.col("doc"), ["r"], ["k"]).alias("s"))
-    return v.groupBy("region", "s.missing", "s.unknown", "s.verdict").agg(n_rows.alias("n"))
+    return v.groupBy("region", "s.missing", "s.unknown", "s.verdict").agg(n_rows().alias("n"))
 
 
 Q53 = """
@@ -51,8 +53,8 @@ def q54(spark, d):
     body = o.select(doc, (F.col("o_orderkey") + 100).alias("line_number"), F.when(F.col("o_orderkey") % 37 == 0, F.lit("broken row")).otherwise(row).alias("line"))
     rule = spark.range(4).select(F.col("id").alias("document"), F.lit(50).cast("long").alias("line_number"), F.lit("-" * 60).alias("line"))
     rows, bad, docs = fixed_text.parse_index(body.union(rule))
-    counts = rows.groupBy("document").agg(n_rows.alias("n_rows"), F.min("filed").alias("first_filed"), F.count_distinct("cik").alias("n_entities"))
-    return docs.join(counts, "document", "left").join(bad.groupBy("document").agg(n_rows.alias("n_bad")), "document", "left").select("document", "state", *(F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in ("n_rows", "first_filed", "n_entities", "n_bad")))
+    counts = rows.groupBy("document").agg(n_rows().alias("n_rows"), F.min("filed").alias("first_filed"), F.count_distinct("cik").alias("n_entities"))
+    return docs.join(counts, "document", "left").join(bad.groupBy("document").agg(n_rows().alias("n_bad")), "document", "left").select("document", "state", *(F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in ("n_rows", "first_filed", "n_entities", "n_bad")))
 
 
 Q54 = """
@@ -88,7 +90,7 @@ def q57(spark, d):
 def q58(spark, d):
     docs = table(spark, d, "documents")
     h = docs.select("doc_id", "source", F.sha2(F.concat_ws("|", "lang", "source", "text"), 256).alias("digest"), F.sha2("text", 256).alias("content"))
-    return h.groupBy("content").agg(n_rows.alias("n"), F.count_distinct("digest").alias("n_records"), F.min("doc_id").alias("first_id"))
+    return h.groupBy("content").agg(n_rows().alias("n"), F.count_distinct("digest").alias("n_records"), F.min("doc_id").alias("first_id"))
 
 
 Q58 = "SELECT sha256(text) AS content, count(*) AS n, count(DISTINCT sha256(lang || '|' || source || '|' || text)) AS n_records, min(doc_id) AS first_id FROM documents GROUP BY 1"
@@ -149,7 +151,7 @@ FOLDS = [(1995, 1996, 1997, 1997), (1995, 1997, 1998, 1998), (1995, 1998, 1999,
 
 
 def q63(spark, d):
-    return U.rolling_folds(table(spark, d, "orders"), F.year("o_orderdate"), FOLDS).groupBy("fold", "part").agg(n_rows.alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
+    return U.rolling_folds(table(spark, d, "orders"), F.year("o_orderdate"), FOLDS).groupBy("fold", "part").agg(n_rows().alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
 
 
 Q63 = f"""
@@ -323,7 +325,7 @@ def q77(spark, d):
     kids = c.where("turn > 0").select(F.concat_ws("-", "conv_id", "turn").alias("name"), F.col("conv_id").alias("own"))
     t = F.col("turn")
     claims = c.where("turn > 0 AND turn % 5 <> 4").select(F.concat_ws("-", "conv_id", "turn").alias("declared"), F.explode(F.when(t % 3 == 0, F.array("conv_id", F.col("conv_id") + 1)).otherwise(F.array("conv_id"))).alias("by"), F.when(t % 7 == 1, F.lit(-1).cast("long")).otherwise(F.col("conv_id")).alias("claimed"))
-    return G.declared_parent(kids, claims, "name", "own", "declared", "by", "claimed").groupBy("binding").agg(n_rows.alias("n"), F.coalesce(F.sum("parent"), F.lit(0)).alias("parents"))
+    return G.declared_parent(kids, claims, "name", "own", "declared", "by", "claimed").groupBy("binding").agg(n_rows().alias("n"), F.coalesce(F.sum("parent"), F.lit(0)).alias("parents"))
 
 
 Q77 = """

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int = 16) -> DataFrame:
-    """A stream of the Parquet files that arrive under `path`, with the schema of `like`."""
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A stream of the Parquet files that arrive under `path`, with the schema of `like`; zoneless times count in the session's zone."""
+    stream = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    zoneless = [c for c, kind in stream.dtypes if kind == "timestamp_ntz"]
+    return stream.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
 def idempotent(stream: DataFrame, identity: list[str], time: str, late: str) -> DataFrame:
