@@ -54,7 +54,7 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             raw = np.array([xxhash.xxh3_64_intdigest(p) for p in flat.cast(pa.large_binary()).to_pylist()], np.uint64)
             starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             for k in range(WIDE):
-                wide[at + first + row[starts], k] = np.add.reduceat(mix(raw + GOLDEN * np.uint64(k + 1)), starts)
+                wide[at + first + row[starts], k] = np.add.reduceat(mix(raw + np.uint64((int(GOLDEN) * (k + 1)) % 2**64)), starts)
             total = np.zeros(len(part) * LANES)
             for p, h, to in shingle_hashes(flat, RUN, lower=False):
                 where = np.repeat(row[p : p + len(to) - 1], np.diff(to)) * LANES + (h & np.uint64(LANES - 1)).astype(np.int64)
