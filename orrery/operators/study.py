@@ -233,3 +233,26 @@ def placebo(rows: DataFrame, day: str, value: str, cutoffs: Sequence[str]) -> Da
     late = F.col(day) >= F.col("cutoff").cast("date")
     out = each.groupBy("cutoff").agg(F.count_if(~late).alias("n_before"), F.count_if(late).alias("n_after"), (F.avg(F.when(late, F.col(value))) - F.avg(F.when(~late, F.col(value)))).alias("d"))
     return out.select("cutoff", "n_before", "n_after", F.round("d", 6).alias("difference"))
+
+
+def rank_correlation(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """by, n, spearman: the correlation of the ranks within a group, ties at their mean rank."""
+
+    def ranks(c: str) -> Column:
+        w = Window.partitionBy(*by)
+        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2.0
+
+    out = rows.select(*by, ranks(a).alias("ra"), ranks(b).alias("rb"))
+    return out.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("ra", "rb"), 6).alias("spearman"))
+
+
+def deciles(rows: DataFrame, predicted: str, actual: str, ties: list[str]) -> DataFrame:
+    """decile, n, predicted, actual: means over ten equal groups in the order of the prediction (one global sort)."""
+    out = rows.withColumn("decile", F.ntile(10).over(Window.orderBy(predicted, *ties)))
+    return out.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg(predicted), 6) + 0.0).alias("predicted"), (F.round(F.avg(actual), 6) + 0.0).alias("actual"))
+
+
+def relative_mae(rows: DataFrame, actual: str, predicted: str, baseline: str, by: list[str]) -> DataFrame:
+    """by, n, relative_mae: the mean absolute error over that of a baseline; their decay is a difference of two groups."""
+    e = lambda c: F.avg(F.abs(F.col(c) - F.col(actual)))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(e(predicted) / F.nullif(e(baseline), F.lit(0.0)), 6).alias("relative_mae"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import entities, resolution, selection, studies
+from orrery.plans import entities, resolution, selection, studies, verdicts
 
-MODULES = (resolution, entities, selection, studies)
+MODULES = (resolution, entities, selection, studies, verdicts)
 
 
 def queries() -> dict:
