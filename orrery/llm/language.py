@@ -146,9 +146,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     rows = docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
     order = [F.xxhash64("id"), F.col("id")]
-    ranked = rows.select("id", "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= SAMPLE)
+    ranked = rows.groupBy("id").agg(F.min("lang").alias("lang")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= SAMPLE)
     ids = [r[0] for r in ranked.orderBy("k", "lang").limit(SAMPLE_ALL).select("id").collect()]
-    sample = rows.where(F.col("id").isin(ids) & F.col("text").isNotNull()).select("id", "lang", "text").toArrow().sort_by([("id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    # of rows that repeat an id the smallest is learned from, so the sample keeps its bound
+    once = rows.where(F.col("id").isin(ids) & F.col("text").isNotNull()).groupBy("id").agg(F.min(F.struct("lang", "text")).alias("m"))
+    sample = once.select("id", "m.lang", "m.text").toArrow().sort_by("id")
     return train(sample["text"].to_pylist(), sample["lang"].to_pylist())
 
 
