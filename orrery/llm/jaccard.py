@@ -9,13 +9,16 @@ enough, so only short lists are merged, and long ones are probed for what is lef
   never written; only the other n - T + 1 short lists are dealt out and merged (every
   occurrence counts). Frequency comes from a sketch of fixed size over all documents; any
   order is exact, this one keeps shared passages and boilerplate on the long side.
-* Each merged list names candidates. A query's candidates meet its whole set in a bounded
+* Each merged list names candidates. Bitmaps of the sets' parities, as many bits as
+  shingles, bound the difference of two sets from below; they drop most candidates that
+  only share a passage, and nothing else.
+* What is left is looked up in whole sets. A query's candidates meet its whole set in a bounded
   task, where the inverted lists over these candidates are divided again: short ones are
   merged as sorted runs, candidates below T - L drop out, and the L long ones are probed by
   binary search.
 
 Equal sets are one entry from the start. Groups of near copies cost their size, not its
-square: first each list links its members to its middle one, the links' components are
+square: first each list links its members to a few pivots, the links' components are
 found, and only then pairs of one list that are still in different components are tested.
 No pair over the threshold is lost: two documents in one component need no further link.
 
@@ -36,13 +39,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orrery.llm.components import components
-from orrery.llm.shingles import mix, shingle_hashes
+from orrery.llm.shingles import GOLDEN, mix, shingle_hashes
 from orrery.runtime import materialize, shuffle_partitions, table
 
 #: Counters of the frequency sketch and bits of the candidate filter: fixed sizes, broadcast.
 COUNTERS, FILTER_BITS, CHUNKS = 1 << 22, 1 << 27, 64
 #: Candidates that one task tests against one query's set at a time.
 BLOCK = 256
+#: Members of each list that all others are paired with at first; members from which on a list's remaining pairs are searched in blocks.
+PIVOTS, LONG = 8, 64
 
 
 def sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -65,8 +70,100 @@ def blobs(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def parities(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A bitmap of each set, of the first power of two of bits from its size on: a bit is the parity of the hashes that fall on it."""
+    n = np.maximum(64, np.diff(bounds))
+    width = (1 << np.ceil(np.log2(n)).astype(np.int64)).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(width)])
+    row = np.repeat(np.arange(len(width)), np.diff(bounds))
+    at = base[row] + (h & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+    return blobs(np.packbits((np.bincount(at, minlength=int(base[-1])) & 1).astype(bool)), base // 8)
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """The number of bits in which two parity bitmaps differ, the larger one folded: at most the size of the symmetric difference."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) > len(b):
+        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)))
+    elif len(b) > len(a):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def near(pairs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose parities leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (np.asarray(batch.column(k)) for k in (2, 4))
+            room = na + nb - 2 * -(-percent * (na + nb) // (100 + percent))
+            keep = [apart(x, y) <= r for x, y, r in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), room.tolist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    with_a = pairs.join(one.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
+    both = with_a.join(one.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
+    return both.select("a", "b", "na", "bits_a", "nb", "bits_b").mapInArrow(run, "a long, b long")
+
+
+def block_pairs(members: DataFrame, one: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in different components, of long lists' members (token, fp, root), whose parities leave room for a link.
+
+    Lists that share members are one cluster. Its largest component is one side, all others
+    the other: the latter meet each other and the former, in blocks of BLOCK documents, so
+    what is dealt grows with the cluster times the blocks that are not linked yet. No pair is
+    written that the bitmaps rule out.
+    """
+    spark = members.sparkSession
+    heads = members.groupBy("token").agg(F.min("fp").alias("head"))
+    clusters = components(members.join(heads, "token").select(F.col("head").alias("a"), F.col("fp").alias("b")))
+    docs = members.select("fp", "root").distinct().join(clusters.select(F.col("node").alias("fp"), F.col("root").alias("k")), "fp")
+    docs = materialize(docs.join(one.select("fp", "n", "bits"), "fp"), "cluster")
+    sizes = docs.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c"))
+    shape = sizes.groupBy("k").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all")).select("k", F.col("top.root").alias("major"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("n_major"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("n_minor")).where("n_minor > 0")
+    each = docs.join(shape, "k").withColumn("is_major", F.col("root") == F.col("major"))
+    own = F.pmod(F.xxhash64("fp"), F.when(F.col("is_major"), F.col("n_major")).otherwise(F.col("n_minor"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    against = F.transform(upto("n_minor"), lambda m: at(1, m, F.col("own"), F.lit(1)))
+    among = F.transform(upto("n_minor"), lambda m: at(0, F.least(m, F.col("own")), F.greatest(m, F.col("own")), F.col("own") > m))
+    over = F.transform(upto("n_major"), lambda m: at(1, F.col("own"), m, F.lit(0)))
+    keys = F.when(F.col("is_major"), against).otherwise(F.concat(among, over))
+    rows = each.withColumn("own", own).withColumn("key", F.explode(keys)).select("k", "key.kind", "key.i", "key.j", "key.side", "fp", "root", "n", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def flush() -> list[tuple[int, int]]:
+            out = []
+            if key is not None:
+                inside = key[1] == 0 and key[2] == key[3]
+                left = held if inside else [h for h in held if h[0] == 0]
+                right = held if inside else [h for h in held if h[0] == 1]
+                for x, (_, f, r, n, b) in enumerate(left):
+                    for _, g, q, m, c in right[x + 1 :] if inside else right:
+                        if r != q and 100 * min(n, m) >= percent * max(n, m) and apart(b, c) <= n + m - 2 * -(-percent * (n + m) // (100 + percent)):
+                            out.append((min(f, g), max(f, g)))
+            held.clear()
+            return out
+
+        for batch in batches:
+            out = []
+            for k, kind, i, j, *doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, kind, i, j) != key:
+                    out += flush()
+                    key = k, kind, i, j
+                held.append(doc)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+        if out := flush():
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+
+    parts = shuffle_partitions(spark)
+    return rows.repartition(parts, "k", "kind", "i", "j").sortWithinPartitions("k", "kind", "i", "j", "side", "fp").mapInArrow(run, "a long, b long")
+
+
 def profile(docs: DataFrame, size: int) -> DataFrame:
-    """(row hash, n, fingerprint) of every document, and per task the compressed counters of its shingles (chunk >= 0)."""
+    """(id, n, fingerprint, parities in blob) of every document, and per task the compressed counters of its shingles (chunk >= 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
@@ -77,7 +174,7 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
             for first, h, bounds, fp in sets(batch.column(1), size):
                 counts += np.bincount((h >> np.uint64(42)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
                 k = len(fp)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k), pa.array(np.diff(bounds)), pa.array(fp), pa.array(np.full(k, -1, np.int32)), pa.nulls(k, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k), pa.array(np.diff(bounds)), pa.array(fp), pa.array(np.full(k, -1, np.int32)), parities(h, bounds)], names)
         if kind is not None:
             each = COUNTERS // CHUNKS
             made = [zlib.compress(counts[c * each : (c + 1) * each].tobytes(), 1) for c in range(CHUNKS)]
@@ -139,10 +236,16 @@ def postings(docs: DataFrame, size: int, percent: int, seen: Broadcast, parts: i
     return docs.mapInArrow(run, "part int, blob binary")
 
 
-def lists(dealt: DataFrame) -> DataFrame:
-    """Inverted lists of at least two different sets: one row (token, fp, n, at, middle, middle_n, middle_at) per member."""
+def lists(dealt: DataFrame, percent: int) -> DataFrame:
+    """Inverted lists of at least two different sets, one row (token, fp, n, at) a member; and rows (fp, mid) of candidate pairs.
+
+    Each list pairs its members with PIVOTS of them, those of the smallest hash of their
+    fingerprint under different seeds, so lists of one group of near copies mostly agree on
+    them and the pairs grow with the members.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "fp", "n", "at", "mid"]
         raw = [b for batch in batches for b in batch.column(1).to_pylist()]
         if not raw:
             return
@@ -154,20 +257,36 @@ def lists(dealt: DataFrame) -> DataFrame:
         both[1:] |= same
         both[:-1] |= same
         p = p[both]
-        p = p[np.lexsort((p["fp"], p["n"], p["token"]))]
+        p = p[np.lexsort((p["fp"], p["token"]))]
         new = np.ones(len(p), bool)
         new[1:] = (p["token"][1:] != p["token"][:-1]) | (p["fp"][1:] != p["fp"][:-1])
         p = p[new]
         starts = np.flatnonzero(np.concatenate([[True], p["token"][1:] != p["token"][:-1]])) if len(p) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(p)))
-        keep = np.repeat(sizes > 1, sizes)
-        middle = np.repeat(starts + sizes // 2, sizes)[keep]
-        m, p = p[middle], p[keep]
+        p = p[np.repeat(sizes > 1, sizes)]
+        sizes = sizes[sizes > 1]
+        if not len(p):
+            return
+        starts, which = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
         for a in range(0, len(p), 50_000):
-            q, r = p[a : a + 50_000], m[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q["token"].view(np.int64).copy(), q["fp"], q["n"], q["at"], r["fp"], r["n"], r["at"])], ["token", "fp", "n", "at", "mid", "mid_n", "mid_at"])
-
-    return dealt.mapInArrow(run, "token long, fp long, n int, at int, mid long, mid_n int, mid_at int")
+            q = p[a : a + 50_000]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (q["token"].view(np.int64).copy(), q["fp"], q["n"], q["at"])), pa.nulls(len(q), pa.int64())], names)
+        found = np.zeros((0, 2), np.int64)
+        for r in range(PIVOTS):
+            seed = np.uint64(((r + 1) * int(GOLDEN)) % 2**64)
+            order = np.lexsort((mix(p["fp"].view(np.uint64) + seed), which))
+            m = p[np.repeat(order[starts], sizes)]
+            n1, n2 = p["n"].astype(np.int64), m["n"].astype(np.int64)
+            rest = np.minimum(n1 - p["at"], n2 - m["at"])
+            ok = (p["fp"] != m["fp"]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((100 + percent) * rest >= percent * (n1 + n2))
+            pairs = np.stack([np.minimum(p["fp"][ok], m["fp"][ok]), np.maximum(p["fp"][ok], m["fp"][ok])], axis=1)
+            found = np.unique(np.concatenate([found, pairs]), axis=0)
+        for a in range(0, len(found), 50_000):
+            q = found[a : a + 50_000]
+            none = pa.nulls(len(q), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(q[:, 0]), pa.nulls(len(q), pa.int32()), pa.nulls(len(q), pa.int32()), pa.array(q[:, 1])], names)
+
+    return dealt.mapInArrow(run, "token long, fp long, n int, at int, mid long")
 
 
 def may_link(percent: int, n1: str, at1: str, n2: str, at2: str):
@@ -295,32 +414,39 @@ def links_and_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col:
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("row"))
     profiled = materialize(profile(read.select("id", "text"), size), "profile")
     rows = profiled.where("chunk < 0").select("id", "n", "fp")
-    one = rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"))
+    one = profiled.where("chunk < 0 and n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("blob").alias("bits"))
+    one = materialize(one, "one")
     parts = shuffle_partitions(spark)
     seen = spark.sparkContext.broadcast(frequency(profiled))
-    found = materialize(lists(postings(read.select("id", "text"), size, percent, seen, parts).repartitionById(parts, F.col("part"))), "lists")
-    needed = materialize(found.select("fp").distinct().join(one, "fp").select("fp", F.xxhash64("id").alias("row")), "needed")
-    whole = materialize(whole_sets(read, needed, size), "sets")
-
-    pair = (F.least("fp", "mid").alias("a"), F.greatest("fp", "mid").alias("b"))
-    first = found.where("fp <> mid").where(may_link(percent, "n", "at", "mid_n", "mid_at")).select(*pair).distinct()
-    first = materialize(first, "first")
-    links = materialize(verify(first, whole, percent), "links")
+    made = materialize(lists(postings(read.select("id", "text"), size, percent, seen, parts).repartitionById(parts, F.col("part")), percent), "lists")
+    found = made.where("mid IS NULL").drop("mid")
+
+    def linked(left: DataFrame) -> DataFrame:
+        """Those of the pairs that link, by their whole sets."""
+        ends = left.select(F.col("a").alias("fp")).union(left.select(F.col("b").alias("fp"))).distinct()
+        needed = materialize(ends.join(one, "fp").select("fp", F.xxhash64("id").alias("row")), "needed")
+        return materialize(verify(left, materialize(whole_sets(read, needed, size), "sets"), percent), "links")
+
+    first = materialize(made.where("mid IS NOT NULL").select(F.col("fp").alias("a"), F.col("mid").alias("b")).distinct(), "first")
+    links = linked(materialize(near(first, one, percent), "near"))
     known = materialize(components(links), "known")
 
     # lists with members that are in different components after that
     member = found.join(known.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
     member = materialize(member, "members")
-    mixed = member.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("token")
-    open_ = member.join(mixed, "token")
-    left, right = open_.alias("x"), open_.alias("y")
+    mixed = member.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("token", "k")
+    open_ = materialize(member.join(mixed, "token"), "open")
+    short = open_.where(F.col("k") <= LONG)
+    left, right = short.alias("x"), short.alias("y")
     cross = left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")))
     cross = cross.where(may_link(percent, "x.n", "x.at", "y.n", "y.at")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-    second = materialize(cross.join(first, ["a", "b"], "left_anti"), "second")
-    links = links.union(materialize(verify(second, whole, percent), "links"))
+    second = near(cross.join(first, ["a", "b"], "left_anti"), one, percent)
+    dense = block_pairs(open_.where(F.col("k") > LONG).select("token", "fp", "root"), one, percent)
+    second = materialize(second.union(dense.join(first, ["a", "b"], "left_anti")).distinct(), "second")
+    links = links.union(linked(second))
     known = materialize(components(links), "known")
 
-    named = one.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = one.select("fp", "id").join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     out = rows.join(classes, "fp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "fp", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

@@ -233,7 +233,7 @@ def test_jaccard_join(spark, folder, texts):
     assert [(got[i]["n_shingles"], got[i]["component_id"] // 3) for i in range(len(texts))] == list(zip(sizes, roots, strict=True))
 
 
-def test_jaccard_join_of_a_large_group(spark, tmp_path):
+def test_jaccard_join_of_a_large_group(spark, tmp_path, monkeypatch):
     rng = random.Random(8)
     base = [rng.choice("abcdefghijklmnop") for _ in range(60)]
     texts = []
@@ -244,7 +244,14 @@ def test_jaccard_join_of_a_large_group(spark, tmp_path):
         texts.append(" ".join(w[rng.randint(0, 4) :]))
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["component_id"] for r in jaccard.op5_jaccard_join(spark, str(tmp_path)).collect()}
-    assert [got[i] for i in range(300)] == brute_components(texts)[1]
+    want = brute_components(texts)[1]
+    assert [got[i] for i in range(300)] == want
+    # few pivots and small blocks leave most pairs to the search in blocks
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard, "LONG", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    out, links = jaccard.links_and_classes(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == dict(enumerate(want))
 
 
 def test_divide_skip_and_parities():
