@@ -31,6 +31,8 @@ from orrery.runtime import table
 BUCKETS, WIDTH, EPOCHS, RATE, SEED = 1 << 16, 16, 4, 0.6, 7
 #: Labelled documents to learn from: at most so many a language, and in all.
 SAMPLE, SAMPLE_ALL = 800, 8000
+#: Bytes of text whose subwords the driver holds at a time.
+TRAIN_BYTES = 500_000
 #: Share of the right predictions on kept-back rows that rejection may cost.
 REJECTED = 0.002
 
@@ -94,7 +96,7 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
     if len(texts) < 20:
         kept[:] = False
     docs = []
-    for _, part in slices(pa.array(texts, pa.large_string())):
+    for _, part in slices(pa.array(texts, pa.large_string()), TRAIN_BYTES):
         bucket, row = subwords(part)
         key, count = np.unique(row * BUCKETS + bucket, return_counts=True)
         bounds = np.searchsorted(key, np.arange(len(part) + 1) * BUCKETS)
@@ -121,7 +123,7 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
     hold = np.flatnonzero(kept)
     if len(hold):
         rest = pa.array([texts[i] for i in hold], pa.large_string())
-        z = np.concatenate([model.logits(p) for _, p in slices(rest)])
+        z = np.concatenate([model.logits(p) for _, p in slices(rest, TRAIN_BYTES)])
 
         def loss(t: float) -> float:
             s = z / t
@@ -129,7 +131,7 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
             return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(hold)), code[hold]]))
 
         model.temperature = min(np.geomspace(0.05, 5, 60), key=loss)
-        p = np.concatenate([model.probabilities(x) for _, x in slices(rest)])
+        p = np.concatenate([model.probabilities(x) for _, x in slices(rest, TRAIN_BYTES)])
         right = np.sort(p.max(axis=1)[p.argmax(axis=1) == code[hold]])
         if len(right):
             model.reject_below = float(min(0.9, right[int(REJECTED * len(right))] * 0.999))

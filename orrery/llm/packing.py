@@ -38,7 +38,12 @@ def cache(path: str) -> PieceCache:
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return PieceCache(lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)])
+
+    def encode(words: list[str]) -> list[list[int]]:
+        """In small batches: an encoding takes far more memory than its ids."""
+        return [e.ids for at in range(0, len(words), 4096) for e in t.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
+
+    return PieceCache(encode)
 
 
 def pieces(docs: DataFrame, path: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

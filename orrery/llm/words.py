@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    TRIM = None
 #: Texts are handled in slices of about so many bytes; one longer text is a slice of its own.
 SLICE_BYTES = 8_000_000
 
 
+def release() -> None:
+    """Give memory that a slice needed back to the system: workers live on, and an executor's limit counts all of them."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, rows) of `texts` as large_string without nulls, at most `most` bytes each unless one row is longer."""
     if isinstance(texts, pa.ChunkedArray):
@@ -23,6 +35,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.A
         to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield at, texts.slice(at, to - at)
         at, done = to, int(ends[to - 1])
+        release()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -50,7 +63,8 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not total:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-    return shift + np.arange(total)
+    shift += np.arange(total)
+    return shift
 
 
 class PieceCache:
