@@ -172,7 +172,7 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             kind = batch.column(0).type
             for first, h, bounds, fp in sets(batch.column(1), size):
-                counts += np.bincount((h >> np.uint64(42)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                np.add.at(counts, (h >> np.uint64(42)).astype(np.int64), np.uint32(1))
                 k = len(fp)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k), pa.array(np.diff(bounds)), pa.array(fp), pa.array(np.full(k, -1, np.int32)), parities(h, bounds)], names)
         if kind is not None:
@@ -370,10 +370,11 @@ def whole_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     each = words // CHUNKS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        packed = np.zeros(FILTER_BITS // 8, np.uint8)
         for batch in batches:
-            bits[np.asarray(batch.column(0)).view(np.uint64) % np.uint64(FILTER_BITS)] = True
-        packed = np.packbits(bits).reshape(CHUNKS, -1)
+            row = np.asarray(batch.column(0)).view(np.uint64) % np.uint64(FILTER_BITS)
+            np.bitwise_or.at(packed, (row >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (row & np.uint64(7)).astype(np.uint8))
+        packed = packed.reshape(CHUNKS, -1)
         used = np.flatnonzero(packed.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([zlib.compress(packed[c].tobytes(), 1) for c in used], pa.binary())], ["chunk", "blob"])
 

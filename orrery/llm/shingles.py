@@ -14,6 +14,10 @@ from orrery.llm.words import slices, split_words
 GOLDEN, MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+#: Bytes of text whose shingles are held at a time.
+SHINGLE_BYTES = 4_000_000
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of SplitMix64)."""
     x = (x ^ (x >> np.uint64(30))) * MIX_1
@@ -32,7 +36,7 @@ def shingle_hashes(texts: pa.Array, size: int = 5, lower: bool = True) -> Iterat
     A-Z are lower-cased first. A text with fewer words has one hash, of all of them; one
     without words has none.
     """
-    for first, part in slices(texts):
+    for first, part in slices(texts, SHINGLE_BYTES):
         words, codes, bounds = split_words(pc.ascii_lower(part) if lower else part)
         each = word_hashes(words)[codes]
         n = np.diff(bounds)
