@@ -1,7 +1,7 @@
 """Exact quota-constrained selection.
 
 Eligibility, ranks, signatures and counts are DataFrames. Only the search itself runs on
-the driver, over a pool whose size is checked first; it is exact, or says that it is not
+the driver, over the members of each cell that can be chosen, whose number is checked first; it is exact, or says that it is not
 (`infeasible_or_unproven` at the node limit), and never approximates.
 """
 
@@ -124,6 +124,18 @@ def choose(pool: Sequence[Candidate], quotas: Quotas, node_limit: int = NODE_LIM
         return Selection("infeasible_or_unproven")
 
 
+def choosable(pool: Sequence[Candidate], quotas: Quotas) -> list[Candidate]:
+    """The candidates that an optimal choice can have: of those alike but for their rank, as many of the first as the tightest quota of their cell."""
+    seen: dict[tuple, int] = {}
+    out = []
+    for c in sorted(pool, key=lambda c: (c.rank, str(c.id))):
+        key = c.cell, c.penalty, c.flag
+        seen[key] = seen.get(key, 0) + 1
+        if seen[key] <= min(d.get(v, 0) for d, v in zip(quotas.exact, c.cell, strict=True)):
+            out.append(c)
+    return out
+
+
 def bounded(pool: DataFrame, limit: int = POOL_LIMIT) -> list:
     """The rows of a pool whose size is checked; a larger one is an error, not a sample."""
     rows = pool.limit(limit + 1).collect()
@@ -135,7 +147,10 @@ def bounded(pool: DataFrame, limit: int = POOL_LIMIT) -> list:
 def select_entities(pool: DataFrame, id_col: str, dimensions: list[str], quotas: Quotas, penalty: str = "penalty", flag: str | None = None, seed: str = "20260725", node_limit: int = NODE_LIMIT) -> DataFrame:
     """id_col, status, total_penalty, nth of the chosen entities; one row without an id when there is no proven choice."""
     ranked = pool.select(id_col, *dimensions, F.col(penalty).cast("int").alias("penalty"), seeded_rank(seed, F.col(id_col)).alias("rank"), (F.col(flag) if flag else F.lit(False)).alias("flag"))
-    found = choose([Candidate(r[id_col], r["penalty"], r["rank"], tuple(str(r[c]) for c in dimensions), r["flag"]) for r in bounded(ranked)], quotas, node_limit)
+    # members alike but for their rank: no choice has more of them than slots, and the smallest ranks win
+    alike = Window.partitionBy(*dimensions, "penalty", "flag").orderBy("rank", F.col(id_col).cast("string"))
+    ranked = ranked.withColumn("orrery_nth", F.row_number().over(alike)).where(F.col("orrery_nth") <= quotas.slots)
+    found = choose(choosable([Candidate(r[id_col], r["penalty"], r["rank"], tuple(str(r[c]) for c in dimensions), r["flag"]) for r in bounded(ranked)], quotas), quotas, node_limit)
     rows = [(m, found.status, found.penalty, k + 1) for k, m in enumerate(found.members)] or [(None, found.status, None, 0)]
     return pool.sparkSession.createDataFrame(rows, f"{id_col} {pool.schema[id_col].dataType.simpleString()}, status string, total_penalty int, nth int")
 

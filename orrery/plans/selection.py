@@ -28,13 +28,12 @@ SELECT quota, required, coalesce(n, 0)::BIGINT AS achieved, coalesce(n, 0) >= re
 
 
 def q49(spark, d):
-    pool = customers(spark, d).where("c_custkey % 25 = 0 AND segment IN ('BUILDING', 'MACHINERY')")
-    return L.select_entities(pool, "c_custkey", ["segment", "zone", "balance"], L.Quotas([{"BUILDING": 3, "MACHINERY": 3}, {"0": 2, "1": 2, "2": 2}, {"low": 1, "high": 5}]), node_limit=2_000_000)
+    return L.select_entities(customers(spark, d), "c_custkey", ["segment", "zone", "balance"], L.Quotas([{"BUILDING": 3, "MACHINERY": 3}, {"0": 2, "1": 2, "2": 2}, {"low": 1, "high": 5}]), node_limit=2_000_000)
 
 
 def q50(spark, d):
     c = customers(spark, d)
-    return L.reserves(c.where("c_custkey % 50 = 7"), c.where("c_custkey % 50 <> 7 AND c_custkey % 3 = 0"), "c_custkey", ["segment", "zone", "balance", "penalty"], seeded_rank("20260725", F.col("c_custkey"))).withColumn("reserve", F.col("reserve").cast("string"))
+    return L.reserves(c.where("c_custkey % 50 = 7"), c.where("c_custkey % 50 <> 7"), "c_custkey", ["segment", "zone", "balance", "penalty"], seeded_rank("20260725", F.col("c_custkey"))).withColumn("reserve", F.col("reserve").cast("string"))
 
 
 Q50 = """

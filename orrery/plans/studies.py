@@ -15,7 +15,7 @@ def n_rows():
 
 
 def nested(spark, d):
-    e = table(spark, d, "events").where("user_id < 40")
+    e = table(spark, d, "events")
     one = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("r"))
     return one.select("user_id", F.col("r.event_id").alias("ids"), F.when(F.col("user_id") % 7 == 3, F.slice("r.event_type", 1, 2)).otherwise(F.col("r.event_type")).alias("types"))
 
@@ -71,7 +71,7 @@ def q55(spark, d):
 
 
 def q56(spark, d):
-    lab = table(spark, d, "labels").where("doc_id % 10 = 0")
+    lab = table(spark, d, "labels")
     one = lab.groupBy((F.col("doc_id") % 50).alias("part")).agg(F.array_sort(F.collect_list(F.array("doc_id", F.col("quality").cast("long"), F.col("toxic").cast("long")))).alias("data"))
     one = one.withColumn("fields", F.when(F.col("part") == 30, F.array(F.lit("doc"), F.lit("q"))).otherwise(F.array(F.lit("doc"), F.lit("quality"), F.lit("toxic"))))
     return J.header_matrix(one, ["part"], "fields", "data", ["toxic", "doc"])
@@ -352,7 +352,7 @@ Q79 = "SELECT 'extra' AS side, o_orderkey, o_custkey, o_orderstatus FROM orders
 
 
 def q80(spark, d):
-    e = table(spark, d, "events").where("event_id % 40 < 3")
+    e = table(spark, d, "events")
     k = F.col("event_id") % 3
     role = F.when(F.col("event_type") == "view", "ticker").when(k == 0, "winning").otherwise("other")
     return R.name_change(e.select("user_id", "event_type", role.alias("role"), (F.col("value") > 10).alias("good")), ["user_id", "event_type"])

@@ -1,23 +1,28 @@
 """Queries over whole tables, against the registered SQL without the cut that it still makes."""
 
+import hashlib
+import random
+
 import duckdb
 import pytest
 
-from orrery.plans import catalogue
+from orrery.operators import select
+from orrery.plans import catalogue, selection
 from tests.test_queries import TABLES, rows
 
 #: query -> what its SQL cuts out of the tables
 CUTS = {
     "q83_structural_consistency": (" WHERE event_id < 400",), "q86_quota_membership": ("o_orderkey < 5000 AND ",), "q54_fixed_text_rows": (" WHERE o_orderkey < 2000",),
+    "q80_name_change_branch": (" WHERE event_id % 40 < 3",), "q56_header_matrix": ("doc_id % 10 = 0 AND ",), "q52_parallel_array_transpose": ("user_id < 40 AND ",), "q50_reserve_first_match": (" AND c_custkey % 3 = 0",),
 }
 
 
 @pytest.fixture(scope="module")
 def far(data, tmp_path_factory):
-    """A folder with the test tables, in which the order keys begin past every prefix."""
+    """A folder with the test tables, in which the keys of orders and users begin past every prefix."""
     folder, con = tmp_path_factory.mktemp("far"), duckdb.connect()
     for t in TABLES:
-        what = "* REPLACE (o_orderkey + 13000 AS o_orderkey)" if t == "orders" else "*"
+        what = {"orders": "* REPLACE (o_orderkey + 13000 AS o_orderkey)", "events": "* REPLACE (user_id + 700 AS user_id)"}.get(t, "*")
         con.execute(f"COPY (SELECT {what} FROM '{data}/{t}.parquet') TO '{folder}/{t}.parquet' (FORMAT parquet)")
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return str(folder), con
@@ -31,3 +36,22 @@ def test_whole_table(spark, far, name):
         sql = sql.replace(cut, "")
     made = con.execute(sql)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows([d[0] for d in made.description], made.fetchall())
+
+
+def test_entities_of_all_customers(spark, data):
+    """The choice is that of the search over every customer."""
+    pool = [select.Candidate(r["c_custkey"], r["penalty"], hashlib.sha256(f"20260725|{r['c_custkey']}".encode()).hexdigest(), (r["segment"], r["zone"], r["balance"])) for r in selection.customers(spark, data).collect()]
+    want = select.choose(pool, select.Quotas([{"BUILDING": 3, "MACHINERY": 3}, {"0": 2, "1": 2, "2": 2}, {"low": 1, "high": 5}]), node_limit=10**8)
+    got = sorted(selection.q49(spark, data).collect(), key=lambda r: r["nth"])
+    assert want.status == "feasible" and [(r["c_custkey"], r["status"], r["total_penalty"]) for r in got] == [(m, want.status, want.penalty) for m in want.members]
+
+
+def test_choosable_keeps_the_choice(spark):
+    rng, quotas = random.Random(3), select.Quotas([{"a": 2, "b": 1}, {"x": 1, "y": 2}], flagged=1)
+    for trial in range(10):
+        pool = [select.Candidate(i, rng.randint(0, 1), hashlib.sha256(f"{trial}|{i}".encode()).hexdigest(), (rng.choice("abc"), rng.choice("xy")), rng.random() < 0.3) for i in range(60)]
+        few = select.choosable(pool, quotas)
+        assert len(few) < 30 and select.choose(few, quotas) == select.choose(pool, quotas, node_limit=10**8)
+    rows = [(i, rng.choice("abc"), rng.choice("xy"), rng.randint(0, 1)) for i in range(6000)]
+    got = select.select_entities(spark.createDataFrame(rows, "id long, u string, v string, penalty int"), "id", ["u", "v"], select.Quotas([{"a": 2, "b": 1}, {"x": 1, "y": 2}])).collect()
+    assert len(got) == 3 and {r["total_penalty"] for r in got} == {0}
