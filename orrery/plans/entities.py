@@ -176,7 +176,7 @@ SELECT o_orderkey, CAST(root AS VARCHAR) AS root, depth::BIGINT AS depth, outcom
 
 
 def q27(spark, d):
-    return G.lineage(chain(spark, d).where("o_orderkey % 13 <> 0"), "o_orderkey", "parent", 6).groupBy("o_orderkey").agg(n_rows().alias("n_ancestors"), F.max("depth").cast("long").alias("depth"), F.min("ancestor").alias("oldest"))
+    return G.lineage(chain(spark, d).where("o_orderkey % 13 <> 0"), "o_orderkey", "parent").groupBy("o_orderkey").agg(n_rows().alias("n_ancestors"), F.max("depth").cast("long").alias("depth"), F.min("ancestor").alias("oldest"))
 
 
 Q27 = f"""

@@ -6,7 +6,7 @@ import random
 import duckdb
 import pytest
 
-from orrery.operators import select
+from orrery.operators import graph, select
 from orrery.plans import catalogue, selection
 from tests.test_queries import TABLES, rows
 
@@ -14,6 +14,7 @@ from tests.test_queries import TABLES, rows
 CUTS = {
     "q83_structural_consistency": (" WHERE event_id < 400",), "q86_quota_membership": ("o_orderkey < 5000 AND ",), "q54_fixed_text_rows": (" WHERE o_orderkey < 2000",),
     "q80_name_change_branch": (" WHERE event_id % 40 < 3",), "q56_header_matrix": ("doc_id % 10 = 0 AND ",), "q52_parallel_array_transpose": ("user_id < 40 AND ",), "q50_reserve_first_match": (" AND c_custkey % 3 = 0",),
+    "q27_recursive_lineage": (" WHERE w.depth < 6",),
 }
 
 
@@ -55,3 +56,13 @@ def test_choosable_keeps_the_choice(spark):
     rows = [(i, rng.choice("abc"), rng.choice("xy"), rng.randint(0, 1)) for i in range(6000)]
     got = select.select_entities(spark.createDataFrame(rows, "id long, u string, v string, penalty int"), "id", ["u", "v"], select.Quotas([{"a": 2, "b": 1}, {"x": 1, "y": 2}])).collect()
     assert len(got) == 3 and {r["total_penalty"] for r in got} == {0}
+
+
+def test_lineage_goes_on_to_the_end(spark):
+    chain = [(k, k - 1) for k in range(2, 42)] + [(1, None)]
+    ring = [(100 + k, 100 + (k + 1) % 15) for k in range(15)]
+    fork = [(201, 202), (201, 203), (202, 204), (203, 204), (204, 205), (201, 205), (201, 205), (300, 300)]
+    got = sorted(tuple(r) for r in graph.lineage(spark.createDataFrame(chain + ring + fork, "id long, parent long"), "id", "parent").collect())
+    want = [(k, a, k - a) for k in range(2, 42) for a in range(1, k)] + [(100 + k, 100 + (k + n) % 15, n) for k in range(15) for n in range(1, 16)]
+    want += [(201, 202, 1), (201, 203, 1), (201, 204, 2), (201, 205, 1), (202, 204, 1), (202, 205, 2), (203, 204, 1), (203, 205, 2), (204, 205, 1), (300, 300, 1)]
+    assert got == sorted(want)
