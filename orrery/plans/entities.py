@@ -156,7 +156,7 @@ SELECT id, CAST(CASE relation WHEN 'amendment_of' THEN named WHEN 'possible_amen
 
 
 def chain(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 3 = 0").select("o_orderkey", "o_custkey", F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("before"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("before"))
     return o.select("o_orderkey", F.when(F.col("o_orderkey") % 13 == 0, F.col("o_orderkey") + 100000000).otherwise(F.col("before")).alias("parent"))
 
 

@@ -14,7 +14,8 @@ from tests.test_queries import TABLES, rows
 CUTS = {
     "q83_structural_consistency": (" WHERE event_id < 400",), "q86_quota_membership": ("o_orderkey < 5000 AND ",), "q54_fixed_text_rows": (" WHERE o_orderkey < 2000",),
     "q80_name_change_branch": (" WHERE event_id % 40 < 3",), "q56_header_matrix": ("doc_id % 10 = 0 AND ",), "q52_parallel_array_transpose": ("user_id < 40 AND ",), "q50_reserve_first_match": (" AND c_custkey % 3 = 0",),
-    "q27_recursive_lineage": (" WHERE w.depth < 6",),
+    "q27_recursive_lineage": (" WHERE w.depth < 6", " WHERE o_custkey % 3 = 0"),
+    "q26_amendment_families": (" WHERE o_custkey % 3 = 0",), "q84_acceptance_order": (" WHERE o_custkey % 3 = 0",),
 }
 
 
