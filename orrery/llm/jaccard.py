@@ -20,7 +20,9 @@ enough, so only short lists are merged, and long ones are probed for what is lef
 Equal sets are one entry from the start. Groups of near copies cost their size, not its
 square: first each list links its members to a few pivots, the links' components are
 found, and only then pairs of one list that are still in different components are tested.
-No pair over the threshold is lost: two documents in one component need no further link.
+Components are exact, but the links are not the whole join: pairs over the threshold whose
+ends are already in one component are not tested, so the links are a spanning subset, and
+no number of links per document follows from them.
 
 Defined results: a null text, or one without words, has an empty set and is linked with
 nothing; fewer words than a shingle are one shingle; repeated rows are equal sets; texts
@@ -408,8 +410,8 @@ def whole_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
 def links_and_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, links): documents with id_col, n_shingles, fp (of the set), component_id; links (a, b) between sets by fp.
 
-    The links tested span the components; copies and pairs of one component that are
-    linked already are not expanded.
+    The links are a spanning subset of the join, not the join: copies and pairs of one
+    component that are linked already are not expanded.
     """
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("row"))
