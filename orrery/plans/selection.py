@@ -38,7 +38,7 @@ def q50(spark, d):
 
 Q50 = """
 WITH c AS (SELECT c_custkey, c_mktsegment AS segment, c_nationkey % 3 AS zone, c_acctbal < 0 AS low, CAST(floor(abs(c_acctbal)) AS BIGINT) % 4 AS penalty FROM customer),
-p AS (SELECT segment, zone, low, penalty, arg_min(c_custkey, sha256('20260725|' || c_custkey::VARCHAR)) AS reserve FROM c WHERE c_custkey % 50 <> 7 AND c_custkey % 3 = 0 GROUP BY 1, 2, 3, 4)
+p AS (SELECT segment, zone, low, penalty, arg_min(c_custkey, sha256('20260725|' || c_custkey::VARCHAR)) AS reserve FROM c WHERE c_custkey % 50 <> 7 GROUP BY 1, 2, 3, 4)
 SELECT c.c_custkey, CAST(reserve AS VARCHAR) AS reserve, CASE WHEN reserve IS NULL THEN 'no_compatible_reserve' ELSE 'reserve' END AS outcome FROM c LEFT JOIN p ON c.segment = p.segment AND c.zone = p.zone AND c.low = p.low AND c.penalty = p.penalty WHERE c_custkey % 50 = 7
 """
 
