@@ -1,26 +1,34 @@
 """Operator 8: personal data by bootstrapped contextual extraction (SQL functions only).
 
-Seeds are the addresses, cards and telephone numbers that fixed expressions find. Every
-identifier-like token of the corpus is an instance, seed or not, and has two lexical
-patterns: the word before it, and the word after it, each with the token's shape. The
-graph of patterns and instances is scored in rounds: a pattern by the mean of its
-instances' scores, an instance by the chance that one of its patterns is right; seeds
-stay at 1. Instances that are no seed and reach `accept` through patterns of at least
-`support` seeds become spans of the kind `context`.
-
+Seeds are the addresses, cards and telephone numbers that fixed expressions find. Instances
+are the seeds and all identifier-like tokens that no seed overlaps: runs of letters, digits
+and `@._%+()/-`, and further groups of digits after single spaces, with `least_digits`
+digits or more in all, of any length and form. An instance's patterns are lexical alone: the
+word before it, the word after it, and both together (lower-cased letters; nothing but marks
+and white space in between). The graph of patterns and instances is scored in rounds:
+
+* a pattern by the lower Wilson bound (z = Z) of the share that its good instances have
+  among its distinct ones: a seed counts 1, an accepted instance its score;
+* an instance by the chance that one of its trusted patterns (`trust` or more) is right; at
+  `accept` it is accepted for good, supports its other patterns from the next round on, and
+  every occurrence of its text becomes a span of the kind `context`.
+
+Rounds end when none is accepted: scores of patterns only rise, so an end is reached.
 Patterns and instances meet as distinct pairs, counted before they are dealt; the joins
-are ones whose hot partitions the engine splits.
+are ones whose hot partitions the engine splits. Spans are found in n log n of a text's
+matches.
 
-Defined results: a null text is empty and has no span; repeated rows are scanned each;
-texts are read whole; an empty table gives an empty table; only the named columns are
-read.
+Defined results: a null text is empty and has no span (redacted, it stays null); repeated
+rows are scanned each; texts are read whole; an empty table gives an empty table; scores are
+rounded to six places before they are compared; columns of any other name are kept by
+`redact` and not read by `extract`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from orrery.llm.spans import count_of, digits, listed, matches, replaced
+from orrery.llm.spans import apart, count_of, digits, in_order, let, listed, matches, part, pieces, reached, replaced
 from orrery.runtime import materialize, table
 
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -29,7 +37,11 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?=[0-9][0-9\x20-]{13})[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TOKEN = r"(?<![A-Za-z0-9@._%+()-])[A-Za-z@._%+()-]*+[0-9][A-Za-z0-9@._%+()-]*+"
+#: identifier-like tokens, and a condition that every text with one of so many digits meets
+TOKEN = r"(?<![A-Za-z0-9@._%+()/-])(?=[A-Za-z@._%+()/-]*+[0-9])[A-Za-z0-9@._%+()/-]*[A-Za-z0-9)](?:\x20[(+]?[0-9](?:[0-9()./+-]*[0-9)])?(?![A-Za-z0-9@_%]))*+"
+ENOUGH = r"(?:[0-9][A-Za-z@._%+()/\x20-]*+)"
+#: quantile of the normal distribution that bounds a pattern's share of good instances
+Z = 1.96
 
 
 def luhn(text: Column) -> Column:
@@ -55,69 +67,90 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(named(k, f) for k, f in enumerate(found)))
 
 
-def instances(text: Column, base: Column) -> Column:
-    """array<struct<start, stop, value, seed, patterns>> of the seeds and of all other identifier-like tokens."""
-    token = F.filter(matches(text, TOKEN, F.rlike(text, F.lit("[0-9]{2}"))), lambda m: F.length(digits(m["text"])).between(6, 24) & (F.length(m["text"]) <= 64))
-    token = F.filter(token, lambda t: ~F.exists(base, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    every = F.concat(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop"), b["text"].alias("text"), F.lit(True).alias("seed"))), F.transform(token, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), t["text"].alias("text"), F.lit(False).alias("seed"))))
-
-    def described(m: Column) -> Column:
-        shape = F.regexp_replace(F.regexp_replace(m["text"], "[0-9]", "9"), "[A-Za-z]+", "a")
-        before = F.substring(text, F.greatest(m["start"] - 31, F.lit(1)).cast("int"), F.least(m["start"], F.lit(32)).cast("int"))
-        after = F.substring(text, (m["stop"] + 1).cast("int"), F.lit(32))
-        left = F.lower(F.regexp_extract(before, r"(?:^|\s)(\S+)\s+$", 1))
-        right = F.lower(F.regexp_extract(after, r"^\s+(\S+)", 1))
-        return F.struct(m["start"].alias("start"), m["stop"].alias("stop"), F.sha2(m["text"], 256).alias("value"), m["seed"].alias("seed"), F.array(F.concat(F.lit("<"), left, F.lit(" "), shape), F.concat(F.lit(">"), right, F.lit(" "), shape)).alias("patterns"))
-
-    return F.transform(every, described)
+def instances(text: Column, base: Column, least_digits: int) -> Column:
+    """array<struct<start, stop, value, seed, patterns>> of the seeds and of all other identifier-like tokens, by start."""
+    found = F.filter(matches(text, TOKEN, F.rlike(text, F.lit(f"{ENOUGH}{{{least_digits}}}"))), lambda m: F.length(digits(m["text"])) >= least_digits)
+    span = lambda s, seed: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(seed).alias("seed"))
+    every = F.array_sort(F.concat(F.transform(base, lambda b: span(b, True)), F.transform(apart(found, base), lambda t: span(t, False))))
+
+    def described(all_: Column, cut: Column) -> Column:
+        def one(m: Column, before: Column, after: Column) -> Column:
+            left = F.lower(F.regexp_extract(part(cut, before, m["start"]), r"(?<!\p{L})(\p{L}++)[^\p{L}\p{N}]*+$", 1))
+            right = F.lower(F.regexp_extract(part(cut, m["stop"], after), r"^[^\p{L}\p{N}]*+(\p{L}++)", 1))
+            patterns = F.array(F.when(left != "", F.concat(F.lit("< "), left)), F.when(right != "", F.concat(F.lit("> "), right)), F.when((left != "") & (right != ""), F.concat(left, F.lit(" <> "), right)))
+            return F.struct(m["start"].alias("start"), m["stop"].alias("stop"), F.sha2(part(cut, m["start"], m["stop"]), 256).alias("value"), m["seed"].alias("seed"), F.array_compact(patterns).alias("patterns"))
+
+        ends = F.concat(F.transform(F.slice(all_, F.lit(2), F.size(all_)), lambda s: s["start"]), F.array(F.length(text).cast("long")))
+        around = F.zip_with(reached(all_), ends, lambda b, a: F.struct(b.alias("before"), a.alias("after")))
+        return F.zip_with(all_, around, lambda m, x: one(m, x["before"], x["after"]))
+
+    none = F.array().cast("array<struct<start:bigint,stop:bigint,value:string,seed:boolean,patterns:array<string>>>")
+    return let(every, lambda all_: F.when(F.size(all_) > 0, let(pieces(text), lambda cut: described(all_, cut))).otherwise(none))
+
+
+def wilson(good: Column, n: Column) -> Column:
+    """The lower bound of a share: good of n."""
+    share = good / n
+    return (share + Z * Z / (2 * n) - Z * F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+
+
+def bootstrap(edges: DataFrame, trust: float = 0.8, accept: float = 0.8) -> DataFrame:
+    """(value, score) of the instances that patterns vouch for, from distinct edges (pattern, value, seed)."""
+    stats = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if("seed").cast("double").alias("good"))
+    # a pattern of fewer instances is never trusted, were they all good
+    stats = materialize(stats.where(F.col("n") >= int(trust * Z * Z / (1 - trust))), "patterns")
+    open_ = materialize(edges.where(~F.col("seed")).join(stats.select("pattern"), "pattern").select("pattern", "value"), "open")
+    accepted, good = None, stats.select("pattern", "n", "good")
+    while True:
+        trusted = good.withColumn("p", F.round(wilson(F.col("good"), F.col("n")), 6)).where(F.col("p") >= trust).select("pattern", "p")
+        score = open_.join(trusted, "pattern").groupBy("value").agg(F.round(1 - F.exp(F.sum(F.log(1 - F.col("p")))), 6).alias("score")).where(F.col("score") >= accept)
+        fresh = materialize(score if accepted is None else score.join(accepted.select("value"), "value", "left_anti"), "accepted")
+        accepted = fresh if accepted is None else accepted.union(fresh)
+        if fresh.isEmpty():
+            return accepted
+        more = open_.join(fresh, "value").groupBy("pattern").agg(F.sum("score").alias("more"))
+        good = materialize(good.join(more, "pattern", "left").select("pattern", "n", (F.col("good") + F.coalesce("more", F.lit(0.0))).alias("good")), "good")
+
+
+def scanned(docs: DataFrame, kept: list[Column], text_col: str, least_digits: int, trust: float, accept: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, more): a written table of the kept columns with base spans and row, and rows' discovered spans (row, more)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct(*kept).alias("kept"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
+    found = instances(F.col("text"), F.col("base"), least_digits)
+    rows = materialize(rows.select("kept", F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["stop"].alias("stop"))).alias("base"), found.alias("found"), F.monotonically_increasing_id().alias("row")), "instances")
+    each = rows.select("row", F.explode("found").alias("f")).select("row", "f.*")
+    edges = each.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    good = bootstrap(edges, trust, accept)
+    span = F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "stop")
+    more = each.where(~F.col("seed")).join(good.select("value"), "value").groupBy("row").agg(F.collect_list(span).alias("more"))
+    return rows.select("row", "kept", "base"), more
 
 
-def bootstrap(edges: DataFrame, rounds: int = 3, support: int = 5, accept: float = 0.8) -> DataFrame:
-    """(value) of the instances that patterns vouch for, from distinct edges (pattern, value, seed)."""
-    # only patterns with enough seeds, and an instance that is none, can change anything
-    useful = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others")).where((F.col("seeds") >= support) & (F.col("others") > 0))
-    useful = materialize(useful, "patterns")
-    open_ = materialize(edges.where(~F.col("seed")).join(useful, "pattern").select("pattern", "value", "seeds", "others"), "open")
-    score = open_.select("value").distinct().withColumn("score", F.lit(0.0))
-    for _ in range(rounds):
-        pattern = open_.join(score, "value").groupBy("pattern").agg(((F.first("seeds") + F.sum("score")) / (F.first("seeds") + F.first("others"))).alias("p"))
-        score = open_.join(pattern, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("score"))
-        score = materialize(score, "scores")
-    return score.where(F.round("score", 6) >= accept).select("value")
+SPANS = "array<struct<start:bigint,kind:int,stop:bigint>>"
 
 
-def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_digits: int = 6, trust: float = 0.8, accept: float = 0.8) -> DataFrame:
     """id_col, spans array<struct<start, kind, stop>> of every row; kind is a place in KINDS."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("base", base_spans(text))
-    rows = rows.select("id", F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["stop"].alias("stop"))).alias("base"), instances(text, F.col("base")).alias("found"))
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "instances")
-    each = rows.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    edges = each.select(F.explode("patterns").alias("pattern"), "value", "seed").where(~F.rlike("pattern", F.lit("^[<>] "))).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    good = bootstrap(edges)
-    more = each.where(~F.col("seed")).join(good, "value").groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "stop")).alias("more"))
-    out = rows.select("row", "id", "base").join(more, "row", "left")
-    return out.select(F.col("id").alias(id_col), F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>")))).alias("spans"))
+    rows, more = scanned(docs, [F.col(id_col).alias("id")], text_col, least_digits, trust, accept)
+    out = rows.join(more, "row", "left")
+    return out.select(F.col("kept.id").alias(id_col), in_order(F.concat("base", F.coalesce("more", F.array().cast(SPANS)))).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars", broadcast_rows: int = 50_000) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars", least_digits: int = 6, trust: float = 0.8, accept: float = 0.8) -> DataFrame:
     """The rows of `docs` with '[KIND]' in place of each span, and size_col as the new length.
 
-    The spans depend on the text alone, so discovered ones are joined by its digest: by
-    broadcast when at most `broadcast_rows` texts have any, else by a shuffle.
+    The rows are written once with their base spans; discovered ones are joined by row. The
+    engine sees the size of their table and chooses the join.
     """
-    more = extract(docs.select(F.md5(text_col).alias("orrery_key"), text_col), "orrery_key", text_col)
-    more = more.select("orrery_key", F.filter("spans", lambda s: s["kind"] == 4).alias("orrery_more")).where(F.size("orrery_more") > 0).dropDuplicates(["orrery_key"])
-    more = materialize(more, "discovered")
-    few = more.count() <= broadcast_rows
-    joined = docs.withColumn("orrery_key", F.md5(text_col)).join(F.broadcast(more) if few else more, "orrery_key", "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.transform(base_spans(text), lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["stop"].alias("stop")))
-    spans = F.concat(base, F.coalesce("orrery_more", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>")))
-    joined = joined.withColumn("orrery_spans", spans).withColumn(text_col, replaced(F.col(text_col), F.col("orrery_spans"), KINDS))
+    rows, more = scanned(docs, [F.col(f"`{c}`") for c in docs.columns], text_col, least_digits, trust, accept)
+    joined = rows.join(materialize(more, "discovered"), "row", "left")
+    spans = F.concat("base", F.coalesce("more", F.array().cast(SPANS)))
+    text = F.col(f"kept.`{text_col}`")
+    joined = joined.select("kept", F.when(F.size("base") + F.coalesce(F.size("more"), F.lit(0)) > 0, replaced(text, spans, KINDS)).otherwise(text).alias("fresh"))
+    fresh = {text_col: F.col("fresh")}
     if size_col in docs.columns:
-        joined = joined.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
-    return joined.select(*docs.columns)
+        fresh[size_col] = F.length("fresh").cast(docs.schema[size_col].dataType)
+    return joined.select(*(fresh.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

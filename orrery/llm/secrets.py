@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from orrery.llm.spans import count_of, listed, matches
+from orrery.llm.spans import apart, count_of, let, listed, matches
 from orrery.runtime import materialize, table
 
 KINDS = ("assign", "access", "hex", "opaque")
@@ -63,8 +63,8 @@ def scan(docs: DataFrame, repository: Column, owner: Column, id_col: str = "doc_
     judged = judged.where((F.col("kind") < 3) | F.col("live"))
     # an opaque token that is, or holds, a candidate of another kind is that candidate
     spans = judged.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "stop", "hash", "n_repositories", "n_owners", "live")).alias("found"))
-    base = F.filter("found", lambda s: s["kind"] < 3)
-    fresh = F.filter("found", lambda s: (s["kind"] < 3) | ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    base, other = F.filter("found", lambda s: s["kind"] < 3), F.filter("found", lambda s: s["kind"] == 3)
+    fresh = let(base, lambda b: let(other, lambda o: F.concat(b, F.transform(apart(o, b), lambda x: F.get(o, x["at"])))))
     out = rows.select("row", "id").join(spans.select("row", fresh.alias("spans")), "row", "left")
     none = F.array().cast(spans.schema["found"].dataType)
     return out.select(F.col("id").alias(id_col), F.array_sort(F.coalesce("spans", none)).alias("spans"))

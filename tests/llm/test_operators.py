@@ -324,7 +324,7 @@ def test_bootstrap_discovers(spark):
     rows = [(k, f"pay with card: {c} now") for k, c in enumerate(good)] + [(90, f"pay with card: {bad} now"), (91, f"serial {bad[::-1]} x")]
     found = {r["doc_id"]: [(s["kind"], s["start"]) for s in r["spans"]] for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[0] == [(2, 15)] and found[90] == [(4, 15)] and found[91] == []
-    redacted = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_rows=0).collect()}
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert redacted[90] == "pay with card: [CONTEXT] now" and redacted[0] == "pay with card: [CARD] now" and redacted[91] == rows[-1][1]
 
 
