@@ -2,17 +2,32 @@
 
 A text is lower-cased, every run of other characters than letters becomes a space, and
 each 3- and 4-byte window of it that has a space at its ends only is a subword, hashed to
-a bucket. A document is the mean of its subwords' embeddings; a linear layer and a softmax
-give the languages. Embeddings and layer are trained together by stochastic gradient
-descent in numpy, on a bounded sample of labelled rows (SAMPLE a language, SAMPLE_ALL in
-all, the first by a hash of the id). A fifth of the sample is kept back: it sets the
-temperature that calibrates the probabilities, and the score below which a prediction is
-rejected. Prediction folds embeddings and layer into one score a bucket and language.
+a bucket. Buckets that fewer than RARE of the learned documents have share one bucket, the
+unknown. A document is the mean of its subwords' embeddings; a linear layer and a softmax
+give the languages and one class more, which is none of them. Embeddings and layer are
+trained together by stochastic gradient descent in numpy.
+
+* Sample: whole labelled rows, the first of each language by a hash of the id, at most
+  SAMPLE a language, SAMPLE_ALL in all and SAMPLE_BYTES of text (a row that would pass its
+  language's share of the bytes is left out of the sample).
+* Negatives of the class `none`: made from every NEGATIVE-th sampled text by changing the
+  letters of a share of its words (a third, two thirds or all) to others of the sample's letters or
+  to letters of no learned alphabet. They teach that unknown subwords speak against
+  every language, and that the more there are of them the more so.
+* Calibration: a fifth of the sample is kept back, with the negatives made of it. It sets the
+  temperature, by the least log loss with labels smoothed by one part in n + 2 (so that a
+  faultless fit doesn't send it to 0), and the score below which a prediction is rejected: the
+  one that costs the share REJECTED of the kept-back right predictions.
+
+Prediction folds embeddings and layer into one score a bucket and class. The score of a
+prediction is its language's probability, with `none` in the denominator; a prediction is
+rejected below the learned score, or where `none` is likelier than the language.
 
 Defined results: a null text, or one without a letter, is `und`, scores 0 and is rejected;
 so is every text when no label was learned. Texts are read whole. Repeated rows are
-predicted each; an empty table gives an empty table; other columns are not read. Equal
-scores go to the language that sorts first.
+predicted each; of rows that repeat an id the smallest (language, text) is learned from; an
+empty table gives an empty table; other columns are not read. Equal scores go to the
+language that sorts first.
 """
 
 from __future__ import annotations
@@ -25,12 +40,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from orrery.llm.words import slices
+from orrery.llm.words import release, slices
 from orrery.runtime import table
 
 BUCKETS, WIDTH, EPOCHS, RATE, SEED = 1 << 16, 16, 4, 0.6, 7
-#: Labelled documents to learn from: at most so many a language, and in all.
-SAMPLE, SAMPLE_ALL = 800, 8000
+#: Labelled documents to learn from: at most so many a language, in all, and bytes of their texts in all.
+SAMPLE, SAMPLE_ALL, SAMPLE_BYTES = 800, 8000, 32_000_000
+#: Groups that a language's rows are ranked in first, so that no task ranks all of them.
+SALT = 64
+#: Learned documents that a bucket needs to have an embedding of its own; one text in so many gives a negative.
+RARE, NEGATIVE = 2, 4
+#: Letters that negatives may take beside the sample's own: one range of code points a script.
+SCRIPTS = ((0x100, 0x17F), (0x391, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0x3042, 0x3093), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+#: Most that a subword's embedding moves in a step, in parts of the gradient at the mean: the shared bucket would diverge without.
+STEP = 4.0
 #: Bytes of text whose subwords the driver holds at a time.
 TRAIN_BYTES = 500_000
 #: Share of the right predictions on kept-back rows that rejection may cost.
@@ -69,7 +92,7 @@ def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    scores: np.ndarray  # a bucket's contribution to each language
+    scores: np.ndarray  # a bucket's contribution to each language and to none of them
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
@@ -77,33 +100,65 @@ class Model:
     def logits(self, texts: pa.Array) -> np.ndarray:
         bucket, row = subwords(texts)
         n = np.maximum(1, np.bincount(row, minlength=len(texts)))
-        return np.stack([np.bincount(row, self.scores[:, k][bucket], len(texts)) / n for k in range(len(self.languages))], axis=1) + self.bias
+        return np.stack([np.bincount(row, self.scores[:, k][bucket], len(texts)) / n for k in range(len(self.bias))], axis=1) + self.bias
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
+        """Of each language, and of none in the last column."""
         z = self.logits(texts) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place among the languages, score, rejected) of texts with a letter."""
+        p = self.probabilities(texts)
+        own = p[:, :-1]
+        best, score = own.argmax(axis=1), own.max(axis=1)
+        return best, score, (score < self.reject_below) | (p[:, -1] > score)
+
+
+def negative(text: str, share: float, alphabet: list[str], rng: np.random.Generator) -> str:
+    """The text with other letters in about `share` of its words, all from one script or from the learned letters."""
+    lo, hi = SCRIPTS[rng.integers(len(SCRIPTS))]
+    own = rng.random() < 0.6
+
+    def other(word: str) -> str:
+        if rng.random() >= share:
+            return word
+        picks = rng.random(len(word))
+        return "".join((alphabet[int(x * len(alphabet))] if own else chr(lo + int(x * (hi - lo + 1)))) if c.isalpha() else c for c, x in zip(word, picks.tolist(), strict=True))
+
+    return " ".join(map(other, text.split(" ")))
+
 
 def train(texts: list[str], labels: list[str]) -> Model | None:
     """Fit on the rows given, in a fixed order; None without rows."""
     languages = sorted(set(labels))
     if not languages:
         return None
-    code = np.array([languages.index(x) for x in labels])
     rng = np.random.default_rng(SEED)
+    none = len(languages)
+    code = [languages.index(x) for x in labels]
     kept = rng.permutation(len(texts)) % 5 == 0
     if len(texts) < 20:
         kept[:] = False
-    docs = []
-    for _, part in slices(pa.array(texts, pa.large_string()), TRAIN_BYTES):
-        bucket, row = subwords(part)
-        key, count = np.unique(row * BUCKETS + bucket, return_counts=True)
-        bounds = np.searchsorted(key, np.arange(len(part) + 1) * BUCKETS)
-        docs += [((key[a:b] % BUCKETS).astype(np.int32), (count[a:b] / max(1, count[a:b].sum())).astype(np.float32)) for a, b in zip(bounds, bounds[1:], strict=False)]
-    embed = ((rng.random((BUCKETS, WIDTH)) - 0.5) / WIDTH).astype(np.float32)
-    layer, bias = np.zeros((WIDTH, len(languages)), np.float32), np.zeros(len(languages), np.float32)
+    alphabet = sorted({c for t in texts for c in t if c.isalpha()})
+    docs: list[tuple[np.ndarray, np.ndarray]] = []
+    for at, part in slices(pa.array(texts, pa.large_string()), TRAIN_BYTES):
+        docs += [counted(x) for x in split(part)]
+        release()
+    made = [i for i in range(len(texts)) if i % NEGATIVE == 0 and alphabet]
+    for j, i in enumerate(made):
+        docs += [counted(x) for x in split(pa.array([negative(texts[i], (1 / 3, 2 / 3, 1)[j % 3], alphabet, rng)], pa.large_string()))]
+    code, kept = np.array(code + [none] * len(made)), np.concatenate([kept, kept[made]]).astype(bool)
     learn = np.flatnonzero(~kept)
+    # buckets of few documents of a language are one, and its embedding is learned from them
+    has = np.zeros(BUCKETS, np.int32)
+    for i in learn[code[learn] != none]:
+        has[docs[i][0]] += 1
+    to = np.where(has >= min(RARE, max(1, len(learn) // 20)), np.arange(BUCKETS), 0).astype(np.int32)
+    docs = [folded(to[bucket], share) for bucket, share in docs]
+    embed = ((rng.random((BUCKETS, WIDTH)) - 0.5) / WIDTH).astype(np.float32)
+    layer, bias = np.zeros((WIDTH, none + 1), np.float32), np.zeros(none + 1, np.float32)
     steps, step = EPOCHS * len(learn), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(learn):
@@ -117,27 +172,48 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
             back = layer @ error
             layer -= rate * np.outer(v, error)
             bias -= rate * error
-            # a subword's share of the mean is small, so its step is scaled up to the number of subwords
-            embed[bucket] -= (rate * min(len(bucket), 256)) * np.outer(share, back)
-    model = Model(languages, (embed @ layer).astype(float), bias.astype(float))
+            # a subword's share of the mean is small, so its step is scaled up to the number of subwords; not that of a frequent one
+            embed[bucket] -= rate * np.outer(np.minimum(share * min(len(bucket), 256), STEP), back)
+    scores = (embed @ layer).astype(float)
+    model = Model(languages, scores[to], bias.astype(float))
     hold = np.flatnonzero(kept)
     if len(hold):
-        rest = pa.array([texts[i] for i in hold], pa.large_string())
-        z = np.concatenate([model.logits(p) for _, p in slices(rest, TRAIN_BYTES)])
+        z = np.stack([share.astype(float) @ scores[bucket] for bucket, share in (docs[i] for i in hold)]) + model.bias
+        smooth = 1 / (len(hold) + 2)
 
         def loss(t: float) -> float:
             s = z / t
-            s -= s.max(axis=1, keepdims=True)
-            return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(hold)), code[hold]]))
-
-        model.temperature = min(np.geomspace(0.05, 5, 60), key=loss)
-        p = np.concatenate([model.probabilities(x) for _, x in slices(rest, TRAIN_BYTES)])
-        right = np.sort(p.max(axis=1)[p.argmax(axis=1) == code[hold]])
+            s = s - s.max(axis=1, keepdims=True)
+            log = s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+            return float(-np.mean((1 - smooth) * log[np.arange(len(hold)), code[hold]] + smooth * log.mean(axis=1)))
+
+        model.temperature = float(min(np.geomspace(0.1, 10, 80), key=loss))
+        p = np.exp((z - z.max(axis=1, keepdims=True)) / model.temperature)
+        p /= p.sum(axis=1, keepdims=True)
+        right = np.sort(p[:, :-1].max(axis=1)[(code[hold] != none) & (p.argmax(axis=1) == code[hold])])
         if len(right):
-            model.reject_below = float(min(0.9, right[int(REJECTED * len(right))] * 0.999))
+            model.reject_below = float(right[int(REJECTED * len(right))])
     return model
 
 
+def split(part: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, their counts) of each text, each bucket once."""
+    bucket, row = subwords(part)
+    key, count = np.unique(row * BUCKETS + bucket, return_counts=True)
+    bounds = np.searchsorted(key, np.arange(len(part) + 1) * BUCKETS)
+    return [((key[a:b] % BUCKETS).astype(np.int32), count[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def counted(x: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return x[0], (x[1] / max(1, x[1].sum())).astype(np.float32)
+
+
+def folded(bucket: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets once each, with the sum of their shares."""
+    one, at = np.unique(bucket, return_inverse=True)
+    return one, np.bincount(at, share, len(one)).astype(np.float32)
+
+
 def held_out(id_col: str) -> Column:
     """Whether a row is never learned from: the checksum of its id as text is divisible by 5."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -148,9 +224,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     rows = docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
     order = [F.xxhash64("id"), F.col("id")]
-    ranked = rows.groupBy("id").agg(F.min("lang").alias("lang")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= SAMPLE)
-    ids = [r[0] for r in ranked.orderBy("k", "lang").limit(SAMPLE_ALL).select("id").collect()]
-    # of rows that repeat an id the smallest is learned from, so the sample keeps its bound
+    one = rows.groupBy("id").agg(F.min("lang").alias("lang"), F.min(F.octet_length("text")).alias("bytes"))
+    # ranked in SALT groups of a language first: what is left for the second rank is bounded
+    salted = one.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)))
+    few = salted.withColumn("k", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("k") <= SAMPLE).drop("k")
+    ranked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= SAMPLE)
+    first = ranked.orderBy("k", "lang").limit(SAMPLE_ALL).select("id", "lang", "bytes").collect()
+    share = SAMPLE_BYTES // max(1, len({r["lang"] for r in first}))
+    used: dict[str, int] = {}
+    ids = []
+    for r in first:
+        if used.get(r["lang"], 0) + (r["bytes"] or 0) <= share:
+            used[r["lang"]] = used.get(r["lang"], 0) + (r["bytes"] or 0)
+            ids.append(r["id"])
     once = rows.where(F.col("id").isin(ids) & F.col("text").isNotNull()).groupBy("id").agg(F.min(F.struct("lang", "text")).alias("m"))
     sample = once.select("id", "m.lang", "m.text").toArrow().sort_by("id")
     return train(sample["text"].to_pylist(), sample["lang"].to_pylist())
@@ -169,10 +255,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                     name, score = np.full(len(part), "und", object), np.zeros(len(part))
                     bad = np.ones(len(part), bool)
                 else:
-                    p = m.probabilities(part)
-                    name = np.where(lettered, np.array(m.languages, object)[p.argmax(axis=1)], "und")
-                    score = np.where(lettered, p.max(axis=1), 0.0)
-                    bad = ~lettered | (score < m.reject_below)
+                    best, score, bad = m.predict(part)
+                    name = np.where(lettered, np.array(m.languages, object)[best], "und")
+                    score, bad = np.where(lettered, score, 0.0), ~lettered | bad
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(name, pa.string()), pa.array(score), pa.array(bad)], ["id", "lang_pred", "score", "rejected"])
 
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -189,7 +274,7 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
         for batch in batches:
             for first, part in slices(batch.column(at), 2_000_000):
                 keep = pc.match_substring_regex(part, r"\p{L}").to_numpy(zero_copy_only=False)
-                keep &= m.probabilities(part).max(axis=1) >= m.reject_below if m else False
+                keep &= ~m.predict(part)[2] if m else False
                 yield batch.slice(first, len(part)).filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
