@@ -348,7 +348,6 @@ def test_licenses(spark, folder, texts):
     got = by_id(licenses.op10_licenses(spark, folder), texts)
     assert {i for i, r in got.items() if r["n_sentences"]} == {len(texts) - 2}
     assert got[len(texts) - 2]["licences"] == "Apache-2.0,MIT"
-    known = dict(licenses.SENTENCES)
-    rows = [(1, ". ".join(known[k] for k in ("mit1", "mit2")) + "."), (2, f"{known['mit1']}!\n{known['own0']}\n{known['mit2']}"), (3, f"{known['bsd1'].upper()}.\nnoise here.\n{known['bsd2']}\n{known['bsd3']}\n{known['bsd1']}\n{known['bsd2']}")]
+    rows = [(1, f"{licenses.MIT}, {licenses.SUBJECT}:\n\n{licenses.INCLUDED}."), (2, f"{licenses.MIT} {licenses.SUBJECT}!\n\n{licenses.RESERVED}\n\n{licenses.INCLUDED}"), (3, f"{licenses.BSD.upper()}.\nnoise here.\n{licenses.BSD_SOURCE}\n{licenses.BSD_NAMES}\n{licenses.BSD}\n{licenses.BSD_SOURCE}")]
     out = {r["doc_id"]: r["licences"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {1: ["MIT"], 2: ["proprietary"], 3: ["BSD-3-Clause", "BSD-2-Clause"]}
