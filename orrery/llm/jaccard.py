@@ -20,9 +20,13 @@ enough, so only short lists are merged, and long ones are probed for what is lef
 Equal sets are one entry from the start. Groups of near copies cost their size, not its
 square: first each list links its members to a few pivots, the links' components are
 found, and only then pairs of one list that are still in different components are tested.
-Components are exact, but the links are not the whole join: pairs over the threshold whose
-ends are already in one component are not tested, so the links are a spanning subset, and
-no number of links per document follows from them.
+Components are exact; the links that come with them are a spanning subset, as pairs over the
+threshold whose ends are already in one component are not tested. `join` tests these too: all
+links between different sets, and each document's number of links. Its work and output grow
+with the links, so with the square of a group of different near copies.
+
+Sets are told apart by 128 bits of hash. What is dealt to a task is bounded by TASK_BYTES of
+postings and TASK_ROWS of rows on average, so tasks grow in number and not in size.
 
 Defined results: a null text, or one without words, has an empty set and is linked with
 nothing; fewer words than a shingle are one shingle; repeated rows are equal sets; texts
@@ -33,7 +37,7 @@ id keeps its row; as a component's smallest id it counts last.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,15 +49,21 @@ from orrery.llm.shingles import GOLDEN, mix, shingle_hashes
 from orrery.runtime import materialize, shuffle_partitions, table
 
 #: Counters of the frequency sketch and bits of the candidate filter: fixed sizes, broadcast.
-COUNTERS, FILTER_BITS, CHUNKS = 1 << 22, 1 << 27, 64
+COUNTERS, FILTER_BITS, CHUNKS, FAN_IN = 1 << 22, 1 << 27, 64, 256
+#: Bytes of postings, and rows of pairs or of blocks, that a task is dealt.
+TASK_BYTES, TASK_ROWS = 64_000_000, 100_000
 #: Candidates that one task tests against one query's set at a time.
 BLOCK = 256
 #: Members of each list that all others are paired with at first; members from which on a list's remaining pairs are searched in blocks.
 PIVOTS, LONG = 8, 64
 
 
-def sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, hashes ascending and distinct within each text, bounds, fingerprint of each set)."""
+def sets(texts: pa.Array, size: int, clash: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, hashes ascending and distinct within each text, bounds, name of each set, further 64 bits of it).
+
+    Sets are named by 64 bits; where a name is among those that unequal sets share (`clash`,
+    ascending) the further bits are folded in.
+    """
     for first, h, bounds in shingle_hashes(texts, size):
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             h[a:b].sort()
@@ -63,7 +73,12 @@ def sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarr
         bounds = np.concatenate([[0], np.cumsum(new)])[bounds]
         h = h[new]
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h))])
-        yield first, h, bounds, mix(total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
+        more = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + GOLDEN))])
+        fp = mix(total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
+        other = mix(more[bounds[1:]] - more[bounds[:-1]]).view(np.int64)
+        if clash is not None and len(clash):
+            fp = np.where(np.isin(fp, clash), fp ^ other, fp)
+        yield first, h, bounds, fp, other
 
 
 def blobs(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -108,17 +123,17 @@ def near(pairs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
 
 
 def block_pairs(members: DataFrame, one: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) in different components, of long lists' members (token, fp, root), whose parities leave room for a link.
+    """Pairs (a, b) in different components, of long lists' members (token, fp, root), that share a list and whose parities leave room for a link.
 
     Lists that share members are one cluster. Its largest component is one side, all others
     the other: the latter meet each other and the former, in blocks of BLOCK documents, so
-    what is dealt grows with the cluster times the blocks that are not linked yet. No pair is
-    written that the bitmaps rule out.
+    what is dealt grows with the cluster times the blocks that are not linked yet. Within a
+    pair of blocks one matrix product tells which documents share a list, and only those are
+    compared; no pair is written that the bitmaps rule out.
     """
-    spark = members.sparkSession
-    heads = members.groupBy("token").agg(F.min("fp").alias("head"))
-    clusters = components(members.join(heads, "token").select(F.col("head").alias("a"), F.col("fp").alias("b")))
-    docs = members.select("fp", "root").distinct().join(clusters.select(F.col("node").alias("fp"), F.col("root").alias("k")), "fp")
+    # a list is a node of its own beside its members, so no list's members are joined by it
+    clusters = components(members.select(F.col("token").alias("a"), F.col("fp").alias("b")))
+    docs = members.groupBy("fp", "root").agg(F.collect_set("token").alias("tokens")).join(clusters.select(F.col("node").alias("fp"), F.col("root").alias("k")), "fp")
     docs = materialize(docs.join(one.select("fp", "n", "bits"), "fp"), "cluster")
     sizes = docs.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c"))
     shape = sizes.groupBy("k").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all")).select("k", F.col("top.root").alias("major"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("n_major"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("n_minor")).where("n_minor > 0")
@@ -130,21 +145,18 @@ def block_pairs(members: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     among = F.transform(upto("n_minor"), lambda m: at(0, F.least(m, F.col("own")), F.greatest(m, F.col("own")), F.col("own") > m))
     over = F.transform(upto("n_major"), lambda m: at(1, F.col("own"), m, F.lit(0)))
     keys = F.when(F.col("is_major"), against).otherwise(F.concat(among, over))
-    rows = each.withColumn("own", own).withColumn("key", F.explode(keys)).select("k", "key.kind", "key.i", "key.j", "key.side", "fp", "root", "n", "bits")
+    rows = each.withColumn("own", own).withColumn("key", F.explode(keys)).select("k", "key.kind", "key.i", "key.j", "key.side", "fp", "root", "n", "bits", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def flush() -> list[tuple[int, int]]:
-            out = []
-            if key is not None:
-                inside = key[1] == 0 and key[2] == key[3]
-                left = held if inside else [h for h in held if h[0] == 0]
-                right = held if inside else [h for h in held if h[0] == 1]
-                for x, (_, f, r, n, b) in enumerate(left):
-                    for _, g, q, m, c in right[x + 1 :] if inside else right:
-                        if r != q and 100 * min(n, m) >= percent * max(n, m) and apart(b, c) <= n + m - 2 * -(-percent * (n + m) // (100 + percent)):
-                            out.append((min(f, g), max(f, g)))
+            if key is None:
+                return []
+            inside = key[1] == 0 and key[2] == key[3]
+            left = held if inside else [h for h in held if h[0] == 0]
+            right = held if inside else [h for h in held if h[0] == 1]
+            out = meeting(left, right, inside, percent) if left and right else []
             held.clear()
             return out
 
@@ -160,46 +172,99 @@ def block_pairs(members: DataFrame, one: DataFrame, percent: int) -> DataFrame:
         if out := flush():
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
-    parts = shuffle_partitions(spark)
+    # a pair of blocks is about BLOCK rows, more in clusters of one block
+    parts = max(shuffle_partitions(members.sparkSession), -(-docs.count() // TASK_ROWS))
     return rows.repartition(parts, "k", "kind", "i", "j").sortWithinPartitions("k", "kind", "i", "j", "side", "fp").mapInArrow(run, "a long, b long")
 
 
+def meeting(left: list, right: list, inside: bool, percent: int) -> list[tuple[int, int]]:
+    """Those pairs of documents (side, fp, root, n, bits, tokens) in different components that share a token and may link."""
+    tokens = {t: k for k, t in enumerate(sorted({t for d in left for t in d[5]} & {t for d in right for t in d[5]}))}
+
+    def matrix(docs: list) -> np.ndarray:
+        out = np.zeros((len(docs), len(tokens)), np.float32)
+        for r, d in enumerate(docs):
+            out[r, [tokens[t] for t in d[5] if t in tokens]] = 1
+        return out
+
+    n, m = (np.array([d[3] for d in side], np.int64) for side in (left, right))
+    ok = matrix(left) @ matrix(right).T > 0
+    ok &= np.array([d[2] for d in left])[:, None] != np.array([d[2] for d in right])[None, :]
+    ok &= 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
+    if inside:
+        ok = np.triu(ok, 1)
+    x, y = np.nonzero(ok)
+    if not len(x):
+        return []
+    both = n[x] + m[y]
+    room = both - 2 * -(-percent * both // (100 + percent))
+    # bitmaps of one width at a time: the wider of a pair is folded to it
+    a_bits, b_bits = ([np.frombuffer(d[4], np.uint64) for d in side] for side in (left, right))
+    width = np.minimum(np.array([len(b) for b in a_bits])[x], np.array([len(b) for b in b_bits])[y])
+    keep = np.zeros(len(x), bool)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        rows, x_at = np.unique(x[at], return_inverse=True)
+        cols, y_at = np.unique(y[at], return_inverse=True)
+        a = np.stack([np.bitwise_xor.reduce(a_bits[r].reshape(-1, w)) for r in rows])
+        b = np.stack([np.bitwise_xor.reduce(b_bits[c].reshape(-1, w)) for c in cols])
+        step = max(1, 4_000_000 // w)
+        for k in range(0, len(at), step):
+            part = slice(k, k + step)
+            keep[at[part]] = np.bitwise_count(a[x_at[part]] ^ b[y_at[part]]).sum(axis=1) <= room[at[part]]
+    return [(min(left[i][1], right[j][1]), max(left[i][1], right[j][1])) for i, j in zip(x[keep].tolist(), y[keep].tolist(), strict=True)]
+
+
 def profile(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, fingerprint, parities in blob) of every document, and per task the compressed counters of its shingles (chunk >= 0)."""
+    """(id, n, fp and other of the set, parities in blob) of every document, and per task the compressed counters of its shingles (chunk >= 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
-        names = ["id", "n", "fp", "chunk", "blob"]
+        names = ["id", "n", "fp", "other", "chunk", "blob"]
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            for first, h, bounds, fp in sets(batch.column(1), size):
+            for first, h, bounds, fp, other in sets(batch.column(1), size):
                 np.add.at(counts, (h >> np.uint64(42)).astype(np.int64), np.uint32(1))
                 k = len(fp)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k), pa.array(np.diff(bounds)), pa.array(fp), pa.array(np.full(k, -1, np.int32)), parities(h, bounds)], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k), pa.array(np.diff(bounds)), pa.array(fp), pa.array(other), pa.array(np.full(k, -1, np.int32)), parities(h, bounds)], names)
         if kind is not None:
             each = COUNTERS // CHUNKS
             made = [zlib.compress(counts[c * each : (c + 1) * each].tobytes(), 1) for c in range(CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, kind), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(made, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, kind), *(pa.nulls(CHUNKS, pa.int64()) for _ in range(3)), pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(made, pa.binary())], names)
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, fp long, chunk int, blob binary")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, fp long, other long, chunk int, blob binary")
 
 
 def frequency(profiled: DataFrame) -> np.ndarray:
-    """The sum of all tasks' counters, as a 12-bit logarithm: COUNTERS numbers, however large the corpus."""
-    each = COUNTERS // CHUNKS
+    """The sum of all tasks' counters, as a 12-bit logarithm: COUNTERS numbers, however large the corpus.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for c, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[c] = sums.get(c, np.zeros(each, np.uint64)) + np.frombuffer(zlib.decompress(blob), np.uint32)
-        for c, s in sums.items():
-            q = np.minimum(4095, np.round(120 * np.log2(1 + s.astype(float)))).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([zlib.compress(q.tobytes(), 1)], pa.binary())], ["chunk", "blob"])
+    The tasks' counters are added as a tree: no task adds more than about FAN_IN of a chunk.
+    """
+    each = COUNTERS // CHUNKS
 
+    def adder(last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for c, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if c not in sums:
+                        sums[c] = np.zeros(each, np.uint64)
+                    sums[c] += np.frombuffer(zlib.decompress(blob), np.uint32)
+            for c, s in sums.items():
+                q = np.minimum(4095, np.round(120 * np.log2(1 + s.astype(float)))).astype(np.uint16) if last else np.minimum(s, 2**32 - 1).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([zlib.compress(q.tobytes(), 1)], pa.binary())], ["chunk", "blob"])
+
+        return run
+
+    counted = profiled.where("chunk >= 0").select("chunk", "blob")
+    many = -(-counted.count() // CHUNKS)  # of each chunk
+    while many > FAN_IN:
+        many = -(-many // FAN_IN)
+        dealt = counted.withColumn("group", F.pmod(F.xxhash64("blob"), F.lit(many))).repartition(CHUNKS * many, "chunk", "group").select("chunk", "blob")
+        counted = materialize(dealt.mapInArrow(adder(False), "chunk int, blob binary"), "counters")
     out = np.zeros(COUNTERS, np.uint16)
-    for c, blob in profiled.where("chunk >= 0").select("chunk", "blob").repartition("chunk").mapInArrow(run, "chunk int, blob binary").collect():
+    for c, blob in counted.repartition("chunk").mapInArrow(adder(True), "chunk int, blob binary").collect():
         out[c * each : (c + 1) * each] = np.frombuffer(zlib.decompress(blob), np.uint16)
     return out
 
@@ -207,13 +272,13 @@ def frequency(profiled: DataFrame) -> np.ndarray:
 POSTING = np.dtype([("token", "<u8"), ("fp", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
-def postings(docs: DataFrame, size: int, percent: int, seen: Broadcast, parts: int) -> DataFrame:
+def postings(docs: DataFrame, size: int, percent: int, seen: Broadcast, clash: Broadcast, parts: int) -> DataFrame:
     """The short lists' entries, packed: (part, blob of POSTING). Equal sets of a slice are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = seen.value
         for batch in batches:
-            for _, h, bounds, fp in sets(batch.column(1), size):
+            for _, h, bounds, fp, _ in sets(batch.column(1), size, clash.value):
                 token = (rank[(h >> np.uint64(42)).astype(np.int64)].astype(np.uint64) << np.uint64(52)) | (h >> np.uint64(12))
                 n = np.diff(bounds)
                 first = np.zeros(len(n), bool)
@@ -363,10 +428,11 @@ def verify(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
     both = queries.union(members.select("a", "block", "b", "blob"))
-    return both.repartition(shuffle_partitions(pairs.sparkSession), "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    parts = max(shuffle_partitions(pairs.sparkSession), -(-pairs.count() // TASK_ROWS))
+    return both.repartition(parts, "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
-def whole_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+def whole_sets(docs: DataFrame, needed: DataFrame, size: int, clash: Broadcast) -> DataFrame:
     """(fp, blob) of each needed set. A filter of fixed size passes over the texts; an exact join follows."""
     spark, words = docs.sparkSession, FILTER_BITS // 64
     each = words // CHUNKS
@@ -400,52 +466,60 @@ def whole_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
             row = np.asarray(batch.column(2)).view(np.uint64) % np.uint64(FILTER_BITS)
             hit = (bits[(row >> np.uint64(3)).astype(np.int64)] >> (7 - (row & np.uint64(7))).astype(np.uint8)) & 1
             if hit.any():
-                for _, h, bounds, fp in sets(batch.column(1).filter(pa.array(hit.astype(bool))), size):
+                for _, h, bounds, fp, _ in sets(batch.column(1).filter(pa.array(hit.astype(bool))), size, clash.value):
                     yield pa.RecordBatch.from_arrays([pa.array(fp), blobs(h, bounds)], ["fp", "blob"])
 
     made = docs.mapInArrow(run, "fp long, blob binary")
     return made.join(needed.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
 
 
-def links_and_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def links_and_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", complete: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, links): documents with id_col, n_shingles, fp (of the set), component_id; links (a, b) between sets by fp.
 
-    The links are a spanning subset of the join, not the join: copies and pairs of one
-    component that are linked already are not expanded.
+    The links are a spanning subset of the join: copies are not expanded, and pairs of one
+    component that are linked already are not tested unless `complete`.
     """
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("row"))
     profiled = materialize(profile(read.select("id", "text"), size), "profile")
-    rows = profiled.where("chunk < 0").select("id", "n", "fp")
-    one = profiled.where("chunk < 0 and n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("blob").alias("bits"))
+    rows = profiled.where("chunk < 0").select("id", "n", "fp", "other")
+    named_once = rows.where("n > 0").groupBy("fp").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("fp")
+    # names that unequal sets share: about the square of the sets' number over 2^65, so a handful however large the corpus
+    shared = sorted(r["fp"] for r in named_once.collect())
+    clash = spark.sparkContext.broadcast(np.array(shared, np.int64))
+    real = F.when(F.col("fp").isin(shared), F.col("fp").bitwiseXOR(F.col("other"))).otherwise(F.col("fp")) if shared else F.col("fp")
+    rows = rows.withColumn("fp", real).drop("other")
+    one = profiled.where("chunk < 0 and n > 0").withColumn("fp", real).groupBy("fp").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("blob").alias("bits"))
     one = materialize(one, "one")
-    parts = shuffle_partitions(spark)
+    short = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-int(short) * POSTING.itemsize // TASK_BYTES))
     seen = spark.sparkContext.broadcast(frequency(profiled))
-    made = materialize(lists(postings(read.select("id", "text"), size, percent, seen, parts).repartitionById(parts, F.col("part")), percent), "lists")
+    made = materialize(lists(postings(read.select("id", "text"), size, percent, seen, clash, parts).repartitionById(parts, F.col("part")), percent), "lists")
     found = made.where("mid IS NULL").drop("mid")
 
     def linked(left: DataFrame) -> DataFrame:
         """Those of the pairs that link, by their whole sets."""
         ends = left.select(F.col("a").alias("fp")).union(left.select(F.col("b").alias("fp"))).distinct()
         needed = materialize(ends.join(one, "fp").select("fp", F.xxhash64("id").alias("row")), "needed")
-        return materialize(verify(left, materialize(whole_sets(read, needed, size), "sets"), percent), "links")
+        return materialize(verify(left, materialize(whole_sets(read, needed, size, clash), "sets"), percent), "links")
 
-    first = materialize(made.where("mid IS NOT NULL").select(F.col("fp").alias("a"), F.col("mid").alias("b")).distinct(), "first")
-    links = linked(materialize(near(first, one, percent), "near"))
+    none = spark.createDataFrame([], "a long, b long")
+    first = none if complete else materialize(made.where("mid IS NOT NULL").select(F.col("fp").alias("a"), F.col("mid").alias("b")).distinct(), "first")
+    links = none if complete else linked(materialize(near(first, one, percent), "near"))
     known = materialize(components(links), "known")
 
     # lists with members that are in different components after that
     member = found.join(known.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
     member = materialize(member, "members")
-    mixed = member.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("token", "k")
+    mixed = member.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where((F.col("lo") != F.col("hi")) & (F.col("k") > (1 if complete else 2))).select("token", "k")
     open_ = materialize(member.join(mixed, "token"), "open")
     short = open_.where(F.col("k") <= LONG)
     left, right = short.alias("x"), short.alias("y")
     cross = left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")))
     cross = cross.where(may_link(percent, "x.n", "x.at", "y.n", "y.at")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-    second = near(cross.join(first, ["a", "b"], "left_anti"), one, percent)
     dense = block_pairs(open_.where(F.col("k") > LONG).select("token", "fp", "root"), one, percent)
-    second = materialize(second.union(dense.join(first, ["a", "b"], "left_anti")).distinct(), "second")
+    untested = lambda pairs: pairs if complete else pairs.join(first, ["a", "b"], "left_anti")
+    second = materialize(near(untested(cross), one, percent).union(untested(dense)).distinct(), "second")
     links = links.union(linked(second))
     known = materialize(components(links), "known")
 
@@ -456,6 +530,20 @@ def links_and_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col:
     return out, links
 
 
+def join(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(documents, links): the documents of `links_and_classes` with n_links, and all links (a, b) between different sets by fp.
+
+    n_links counts the other documents at the threshold or above, copies of the document included.
+    """
+    out, links = links_and_classes(docs, size, percent, id_col, text_col, complete=True)
+    out, links = materialize(out, "documents"), links.distinct()
+    copies = out.where("n_shingles > 0").groupBy("fp").agg(F.count(F.lit(1)).alias("copies"))
+    both = links.union(links.select("b", "a"))
+    others = both.join(copies, both["b"] == copies["fp"]).groupBy("a").agg(F.sum("copies").alias("others"))
+    counted = copies.join(others, copies["fp"] == others["a"], "left").select("fp", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return out.join(counted, "fp", "left").withColumn("n_links", F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(0)), links
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = links_and_classes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_shingles", "component_id")

@@ -254,6 +254,48 @@ def test_jaccard_join_of_a_large_group(spark, tmp_path, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in out.collect()} == dict(enumerate(want))
 
 
+def test_join_loses_no_link(spark, texts, monkeypatch):
+    rng = random.Random(9)
+    some = [t for t in texts if t is None or len(t) < 5000]
+    base = [rng.choice("abcdefghijklmnop") for _ in range(50)]
+    for _ in range(120):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(50)] = f"e{rng.randrange(20)}"
+        some.append(" ".join(w))
+    monkeypatch.setattr(jaccard, "LONG", 16)
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    out, links = jaccard.join(docs)
+    sets, want = [shingles(t) for t in some], collections.Counter()
+    for a in range(len(some)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                want[a] += 1
+                want[b] += 1
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert {i: r["n_links"] for i, r in got.items()} == {i: want[i] for i in range(len(some))}
+    assert [got[i]["component_id"] for i in range(len(some))] == brute_components(some)[1]
+    different = {frozenset((sets[i], sets[j])) for i in range(len(some)) for j in range(i) if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and sets[i]}
+    assert links.count() == len(different)
+
+
+def test_equal_names_of_unequal_sets(spark, monkeypatch):
+    """Where two sets share their 64-bit name, the further bits tell them apart."""
+    real = jaccard.sets
+
+    def weak(texts, size, clash=None):
+        for first, h, bounds, fp, other in real(texts, size):
+            named = fp & 3
+            yield first, h, bounds, np.where(np.isin(named, clash), named ^ other, named) if clash is not None and len(clash) else named, other
+
+    texts = [f"{w} one two three four five six" for w in "abcdefghijkl"] * 2
+    hashes = [x for _, h, bounds, fp, other in weak(__import__("pyarrow").array(texts), 5) for x in fp.tolist()]
+    assert len(set(hashes)) <= 4
+    clash = np.array(sorted(set(hashes)))
+    assert len({x for _, h, bounds, fp, other in weak(__import__("pyarrow").array(texts), 5, clash) for x in fp.tolist()}) == 12
+
+
 def test_divide_skip_and_parities():
     rng = np.random.default_rng(2)
     for _ in range(200):
