@@ -11,8 +11,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orrery.llm import jaccard, language, packing, pii
-from orrery.runtime import materialize, table
+from orrery.runtime import discard, materialize, table
 
+#: Name of a column that no table of documents has.
+ROW = "orrery_document_row"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -22,20 +24,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with a Jaccard similarity of 0.75 or more stays, that of the smallest id.
+    """One row of each component of texts with a Jaccard similarity of 0.75 or more stays: that of the smallest id.
 
-    Of rows that repeat that id one stays. A row without an id, or without a word, stays.
+    Decided by row: a row is named by its id and its text's digest, so of different texts
+    under one id only those stay out that resemble another row. A null id counts last; of
+    rows of one id in a component the smallest digest stays; of rows equal in id and text one
+    stays, the first by its other columns. A row without a word stays.
     """
-    classes, _ = jaccard.links_and_classes(docs)
-    gone = materialize(classes.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    once = classes.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = materialize(once, "repeated")
-    few = gone.count() <= 1_000_000
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    same = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(same.select(*docs.columns))
+    key = F.struct(F.col("doc_id").isNull().alias("blank"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    named = docs.withColumn(ROW, key)
+    classes, _ = jaccard.links_and_classes(named, id_col=ROW)
+    classes = classes.where("n_shingles > 0").groupBy(ROW).agg(F.first("component_id").alias("kept"), F.count(F.lit(1)).alias("copies"))
+    # (row, keep): what leaves, and what stays once; the engine sees the size of the table and chooses the join
+    odd = materialize(classes.where((F.col(ROW) != F.col("kept")) | (F.col("copies") > 1)).select(ROW, (F.col(ROW) == F.col("kept")).alias("orrery_once")), "duplicates")
+    met = named.join(odd, ROW, "left")
+    clean = met.where("orrery_once IS NULL").select(*docs.columns)
+    if odd.where("orrery_once").isEmpty():
+        return clean
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = met.where("orrery_once").groupBy(ROW).agg(F.min(others).alias("orrery_row"))
+    return clean.unionByName(once.select("orrery_row.*"))
 
 
 def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +57,14 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [("language", language_stage), ("duplicates", duplicates_stage), ("privacy", privacy_stage), ("packing", packing_stage)]
-#: No stage but the last could be stated in SQL; tests compare each with brute force.
+#: The language model and the packing can't be stated in SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of all stages over `documents`; a stage's table is removed once the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.runtime import materialize
+from orrery.runtime import discard, materialize
 
 
 def roots(nodes: DataFrame, key: str, parent: str, most: int = 64) -> DataFrame:
@@ -21,10 +21,12 @@ def roots(nodes: DataFrame, key: str, parent: str, most: int = 64) -> DataFrame:
     state = materialize(state, "roots")
     before = None
     for _ in range(most):
+        begun = state
         far = state.select(F.col("k").alias("f_k"), F.col("to").alias("f_to"), F.col("done").alias("f_done"), F.col("depth").alias("f_depth"), F.col("missing").alias("f_missing"))
         # an ancestor that is done is the end; `done` is taken over from it
         state = state.join(far, F.col("to") == F.col("f_k")).select("k", F.when(F.col("done"), F.col("to")).otherwise(F.col("f_to")).alias("to"), (F.col("done") | F.col("f_done")).alias("done"), F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + F.col("f_depth")).alias("depth"), F.when(F.col("done"), F.col("missing")).otherwise(F.col("f_missing")).alias("missing"))
         state = materialize(state, "roots")
+        discard(begun)
         left = state.where(~F.col("done")).count()
         if left == 0 or left == before:
             break
