@@ -2,15 +2,18 @@
 
 Vectors are dealt to ranges of descending length and packed into blocks. Queries are
 packed into blocks as well; a query set is stated by the caller. Every query block first
-meets the block of the longest vectors, which gives each query a score to beat; by
+meets the block of the longest vectors, which gives each query a result (score, id) to beat; by
 Cauchy-Schwarz no block whose longest vector times the query's length stays below it can
-hold a result, so only the blocks before that one are joined. Inside a block, vectors are
+hold a result, so only the blocks before that one are joined. They are dealt to groups of
+about GROUP blocks, each in descending order of length: what a group has found raises
+its result to beat, and an equal score needs a smaller id. Inside a block, vectors are
 rotated by the singular vectors of all vectors' second moments: the first coordinates hold
 most of a product, and |rest of q| * |rest of x| bounds the others. Survivors are scored
-exactly. A block is bounded, so is a task's work on one pair of blocks.
+exactly. A block is bounded, so is a group's work.
 
-Components are turned to integers, floor(scale * x), so products are exact in double
-precision. Defined results: vectors that are null or hold a null or non-finite component
+Components are turned to integers, floor(scale * x); sums of products are exact in double
+precision below 2^53 and in 64 bits beyond, up to 2^63. Vectors of a table are meant to have one
+length: shorter ones are filled up to the longest. Defined results: vectors that are null or hold a null or non-finite component
 take no part; rows that repeat an id count once, with the smallest vector; a missing
 component counts as 0; ties go to the smaller id; fewer than k candidates are all
 returned; an empty table gives an empty table; other columns are not read.
@@ -28,6 +31,8 @@ from orrery.runtime import materialize, shuffle_partitions, table
 
 #: Vectors in a block of candidates and of queries; rotated coordinates in the partial sums.
 BLOCK, QUERIES_A_BLOCK, HEAD = 2048, 512, 16
+#: Blocks that one group of a query block meets one after another.
+GROUP = 32
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -111,31 +116,55 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def scored(pairs: DataFrame, width: int, k: int, turn: np.ndarray) -> DataFrame:
-    """Each query's best k of each pair of blocks, of those that reach its score to beat: (query_id, vec_id, score)."""
+    """Each query's best k of the blocks of its group, of those better than its result to beat: (query_id, vec_id, score).
+
+    Rows (q_block, part, block, q_ids, q_vs, q_beat, q_beat_id, ids, vs) are sorted by the first
+    three. A group (q_block, part) meets its blocks in descending order of length, and what it
+    has found so far raises the result to beat for the blocks after.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, best = None, {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if best:
+                found = [(np.full(len(i), q), i, s) for q, (s, i) in best.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
+
         for batch in batches:
-            for q_ids, q_vs, q_beat, ids, vs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                qi, ci = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                q, c = np.frombuffer(q_vs).reshape(-1, width), np.frombuffer(vs).reshape(-1, width)
-                beat = np.frombuffer(q_beat) if q_beat is not None else np.full(len(qi), -np.inf)
-                qr, cr = q @ turn.T, c @ turn.T
-                q_rest, c_rest = np.sqrt((qr[:, HEAD:] ** 2).sum(1)), np.sqrt((cr[:, HEAD:] ** 2).sum(1))
-                bound = qr[:, :HEAD] @ cr[:, :HEAD].T + np.outer(q_rest, c_rest)
+            for q_block, part, _, q_ids, q_vs, q_beat, q_beat_id, ids, vs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (q_block, part) != key:
+                    yield from out()
+                    key, best = (q_block, part), {}
+                    qi, q = np.frombuffer(q_ids, np.int64), np.frombuffer(q_vs).reshape(-1, width)
+                    beat = np.frombuffer(q_beat).copy() if q_beat is not None else np.full(len(qi), -np.inf)
+                    beat_id = np.frombuffer(q_beat_id, np.int64).copy() if q_beat_id is not None else np.full(len(qi), np.iinfo(np.int64).max)
+                    qr = q @ turn.T
+                    q_rest, q_most = np.sqrt((qr[:, HEAD:] ** 2).sum(1)), np.abs(q).max(initial=0)
+                ci, c = np.frombuffer(ids, np.int64), np.frombuffer(vs).reshape(-1, width)
+                cr = c @ turn.T
+                bound = qr[:, :HEAD] @ cr[:, :HEAD].T + np.outer(q_rest, np.sqrt((cr[:, HEAD:] ** 2).sum(1)))
                 live = bound + 1e-6 * (1 + np.abs(bound)) >= beat[:, None]
                 live &= qi[:, None] != ci[None, :]
-                out = []
+                # sums of products are whole numbers: exact in doubles below 2**53, in 64 bits beyond
+                whole = q_most * np.abs(c).max(initial=0) * width >= 2**52
                 for r in np.flatnonzero(live.any(axis=1)):
                     at = np.flatnonzero(live[r])
-                    s = c[at] @ q[r]
-                    ok = s >= beat[r]
-                    at, s = at[ok], s[ok]
-                    top = best_of(s, ci[at], k)
-                    out.append((np.full(len(top), qi[r]), ci[at[top]], s[top].astype(np.int64)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
-
-    return pairs.select("q_ids", "q_vs", "q_beat", "ids", "vs").mapInArrow(run, "query_id long, vec_id long, score long")
+                    s = c[at].astype(np.int64) @ q[r].astype(np.int64) if whole else (c[at] @ q[r]).astype(np.int64)
+                    ok = (s > beat[r]) | ((s == beat[r]) & (ci[at] < beat_id[r]))
+                    s, i = s[ok], ci[at[ok]]
+                    if not len(s):
+                        continue
+                    query = int(qi[r])
+                    if query in best:
+                        s, i = np.concatenate([best[query][0], s]), np.concatenate([best[query][1], i])
+                    top = best_of(s, i, k)
+                    best[query] = s[top], i[top]
+                    if len(top) == k:
+                        beat[r], beat_id[r] = s[top[-1]], i[top[-1]]
+        yield from out()
+
+    return pairs.select("q_block", "part", "block", "q_ids", "q_vs", "q_beat", "q_beat_id", "ids", "vs").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_inner_products(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -155,26 +184,30 @@ def top_inner_products(vectors: DataFrame, queries: Column, k: int = 20, scale:
         return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score long")
     # one block of a bounded size against every query block
     start = packed.where(F.col("block") == first).select("block", "ids", "vs")
-    met = q.withColumn("block", F.lit(first)).join(F.broadcast(start), "block").withColumn("q_beat", F.lit(None).cast("binary"))
-    begun = materialize(scored(met.repartition("q_block"), width, k, turn), "begun")
-    kth = begun.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select("query_id", "least")
+    none = F.lit(None)
+    met = q.withColumn("block", F.lit(first)).join(F.broadcast(start), "block").select("*", F.lit(0).alias("part"), none.cast("binary").alias("q_beat"), none.cast("binary").alias("q_beat_id"))
+    begun = materialize(scored(met.repartition("q_block").sortWithinPartitions("q_block"), width, k, turn), "begun")
+    # the k-th result so far: a later one needs a higher score, or the same and a smaller id
+    kth = begun.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("score", (-F.col("vec_id")).alias("back"))).alias("m")).where(F.col("n") >= k).select("query_id", F.col("m.score").alias("least"), (-F.col("m.back")).alias("least_id"))
 
     def with_beat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
         for batch in batches:
-            for block, most, ids, vs, query, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, ids, vs, query, least, least_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if ids is not None:
-                    held.setdefault(block, [None, {}])[0] = (most, ids, vs)
+                    held.setdefault(block, [None, {}])[0] = (ids, vs)
                 else:
-                    held.setdefault(block, [None, {}])[1][query] = least
+                    held.setdefault(block, [None, {}])[1][query] = (least, least_id)
         for block, (own, beat) in held.items():
-            ids = np.frombuffer(own[1], np.int64)
-            v = np.frombuffer(own[2]).reshape(-1, width)
-            least = np.array([beat.get(i, -np.inf) for i in ids.tolist()], float)
+            ids = np.frombuffer(own[0], np.int64)
+            v = np.frombuffer(own[1]).reshape(-1, width)
+            most = np.iinfo(np.int64).max
+            least = np.array([beat.get(i, (-np.inf, most))[0] for i in ids.tolist()], float)
+            least_id = np.array([beat.get(i, (-np.inf, most))[1] for i in ids.tolist()], np.int64)
             size = np.sqrt((v * v).sum(1))
             # the shortest a vector may be to reach the score of one of the block's queries
             need = np.where(least > 0, least / np.maximum(size, 1e-300), 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([float(need.min())]), pa.array([own[1]], pa.binary()), pa.array([own[2]], pa.binary()), pa.array([least.tobytes()], pa.binary())], ["q_block", "need", "q_ids", "q_vs", "q_beat"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([float(need.min())]), *(pa.array([x], pa.binary()) for x in (own[0], own[1], least.tobytes(), least_id.tobytes()))], ["q_block", "need", "q_ids", "q_vs", "q_beat", "q_beat_id"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,13 +216,16 @@ def top_inner_products(vectors: DataFrame, queries: Column, k: int = 20, scale:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), block)), pa.array(i)], ["q_block", "query_id"])
 
     where = q.select("q_block", "q_ids").mapInArrow(unpack, "q_block long, query_id long").join(kth, "query_id")
-    none = F.lit(None)
-    both = q.select("q_block", "q_most", "q_ids", "q_vs", none.cast("long").alias("query_id"), none.cast("long").alias("least")).union(where.select("q_block", none.cast("double"), none.cast("binary"), none.cast("binary"), "query_id", "least"))
-    ready = materialize(both.repartition("q_block").mapInArrow(with_beat, "q_block long, need double, q_ids binary, q_vs binary, q_beat binary"), "ready")
-    # pairs of block names first: a query block and the blocks whose longest vector is long enough
+    both = q.select("q_block", "q_ids", "q_vs", none.cast("long").alias("query_id"), none.cast("long").alias("least"), none.cast("long").alias("least_id")).union(where.select("q_block", none.cast("binary"), none.cast("binary"), "query_id", "least", "least_id"))
+    ready = materialize(both.repartition("q_block").mapInArrow(with_beat, "q_block long, need double, q_ids binary, q_vs binary, q_beat binary, q_beat_id binary"), "ready")
+    # pairs of block names first: a query block and the blocks whose longest vector is long enough,
+    # dealt to groups of GROUP blocks of nearly the same lengths as the first ones
     names = ready.select("q_block", "need").join(packed.where(F.col("block") != first).select("block", "most"), F.col("most") * (1 + 1e-9) >= F.col("need"))
-    pairs = names.join(packed.select("block", "ids", "vs"), "block").join(ready.select("q_block", "q_ids", "q_vs", "q_beat"), "q_block")
-    found = begun.union(scored(pairs, width, k, turn))
+    n_blocks = packed.count()
+    names = names.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(-(-n_blocks // GROUP))).cast("int"))
+    pairs = names.join(packed.select("block", "ids", "vs"), "block").join(ready.select("q_block", "q_ids", "q_vs", "q_beat", "q_beat_id"), "q_block")
+    parts = max(shuffle_partitions(spark), -(-n_blocks * ready.count() // GROUP // 4))
+    found = begun.union(scored(pairs.repartition(parts, "q_block", "part").sortWithinPartitions("q_block", "part", "block"), width, k, turn))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")

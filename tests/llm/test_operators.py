@@ -189,6 +189,28 @@ def test_top_inner_products(spark, tmp_path):
         assert got[i] == [(r + 1, ids[k], s[k]) for r, k in enumerate(best)]
 
 
+def test_top_inner_products_of_ties_and_large_numbers(spark, tmp_path, monkeypatch):
+    """Small blocks; ties over all of them; repeated ids with different vectors; sums beyond 2**53."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERIES_A_BLOCK", 4)
+    monkeypatch.setattr(topk, "GROUP", 3)
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(400, 20)) * 1e6 + 3e6, 3)
+    v[50:300] = v[50]
+    order = rng.permutation(400)
+    rows = [(int(i), v[i].tolist()) for i in order] + [(7, (v[7] - 1).tolist()), (7, (v[7] + 1).tolist()), (-20, (-v[3]).tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = collections.defaultdict(list)
+    for r in topk.op3_top_inner_products(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    q = {int(i): [int(np.floor(64 * x)) for x in vec] for i, vec in rows[:400]} | {-20: [int(np.floor(64 * x)) for x in -v[3]]}
+    q[7] = [int(np.floor(64 * x)) for x in v[7] - 1]
+    assert set(got) == {i for i in q if i % 20 == 0}
+    for i in got:
+        scores = sorted(((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in q if j != i))[:20]
+        assert got[i] == [(j, -s) for s, j in scores]
+
+
 # 4
 def test_language(spark, folder, texts, data):
     got = by_id(language.op4_language(spark, folder), texts)
