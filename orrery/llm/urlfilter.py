@@ -4,21 +4,21 @@ A list is a log of dated entries: a host suffix is added to a category, or remov
 it. Entries become validity intervals [from, to): the last entry of a suffix, category
 and day counts, and lasts until the next one. Every capture is joined to the intervals of
 its host and of each parent domain that hold at its fetch time (an equality join on the
-suffix with the as-of bounds as its residual). The list is broadcast only when it has at
-most `broadcast_rows` intervals; beyond, it is a shuffle join whose hot hosts the engine
-splits.
+suffix with the as-of bounds as its residual), by a broadcast where the list is small enough
+for the engine's threshold, else by a shuffle whose hot hosts the engine splits.
 
 Defined results: a capture without a host or a fetch time matches nothing and stays;
 entries with a null suffix, category or day are left out; repeated captures are rows of
 their own; of entries of one day the addition wins; an empty list or table gives no match
-or no row; extra columns of the captures are kept unless they have a result's name.
+or no row; all columns of the captures are kept, whatever their names, but for those named
+host, n_active, categories or blocked, which the results replace.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from orrery.runtime import table
+from orrery.runtime import materialize, table
 
 CATEGORIES = ("ads", "adult", "malware")
 
@@ -36,20 +36,28 @@ def intervals(entries: DataFrame) -> DataFrame:
     return daily.withColumn("valid_to", following).where("added").select("suffix", "category", F.col("day").alias("valid_from"), "valid_to")
 
 
-def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched", broadcast_rows: int = 100_000) -> DataFrame:
-    """The captures with host, n_active (intervals that hold), categories (sorted, comma-joined) and blocked."""
-    valid = intervals(entries)
-    few = valid.count() <= broadcast_rows
-    kept = [c for c in captures.columns if c not in ("host", "n_active", "categories", "blocked")]
-    rows = captures.select(*kept, host(F.coalesce(F.col(url_col), F.lit(""))).alias("host")).withColumn("orrery_row", F.monotonically_increasing_id())
+RESULTS = ("host", "n_active", "categories", "blocked")
+
+
+def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
+    """The captures with host, n_active (intervals that hold), categories (sorted, comma-joined) and blocked.
+
+    The captures are written once; only (row, suffix, time) is exploded and joined with the
+    intervals, and what holds comes back by row. The engine knows the sizes of the list and of
+    the rows with a match, and chooses each join by them.
+    """
+    valid = materialize(intervals(entries), "intervals")
+    kept = [c for c in captures.columns if c not in RESULTS]
+    rows = captures.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("kept"), F.col(f"`{time_col}`").alias("time"), host(F.coalesce(F.col(f"`{url_col}`"), F.lit(""))).alias("host"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "captures")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    each = rows.withColumn("suffix", F.explode(suffixes))
-    asof = F.broadcast(valid) if few else valid
-    met = each.join(asof, (each["suffix"] == asof["suffix"]) & (asof["valid_from"] <= F.col(time_col)) & (asof["valid_to"].isNull() | (F.col(time_col) < asof["valid_to"])), "left")
-    firsts = [F.first(c).alias(c) for c in (*kept, "host")]
-    out = met.groupBy("orrery_row").agg(*firsts, F.count("category").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
-    return out.drop("orrery_row").withColumn("blocked", F.col("n_active") > 0)
+    each = rows.where("time IS NOT NULL AND host <> ''").select("row", "time", F.explode(suffixes).alias("suffix"))
+    met = each.join(valid, "suffix").where((F.col("valid_from") <= F.col("time")) & (F.col("valid_to").isNull() | (F.col("time") < F.col("valid_to"))))
+    held = met.groupBy("row").agg(F.count(F.lit(1)).alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
+    out = rows.join(materialize(held, "held"), "row", "left")
+    n = F.coalesce("n_active", F.lit(0))
+    return out.select(*(F.col(f"kept.`{c}`").alias(c) for c in kept), "host", n.cast("long").alias("n_active"), F.coalesce("categories", F.lit("")).alias("categories"), (n > 0).alias("blocked"))
 
 
 def demo_entries(captures: DataFrame) -> DataFrame:

@@ -401,9 +401,14 @@ def test_url_filter(spark):
     entries = spark.createDataFrame([("b.com", "ads", "2024-01-10", True), ("b.com", "ads", "2024-02-01", False), ("b.com", "ads", "2024-03-01", True), ("a.b.com", "malware", "2024-01-15", True), ("b.com", "ads", "2024-03-01", False), (None, "ads", "2024-01-01", True)], "suffix string, category string, day string, added boolean").withColumn("day", F.col("day").cast("date"))
     rows = [(1, "http://x.a.b.com/", "2024-01-20"), (2, "https://B.com:80/x", "2024-02-01"), (3, "http://b.com", "2024-03-01"), (4, "http://notb.com", "2024-03-01"), (5, None, "2024-03-01"), (6, "http://b.com", None), (7, "http://b.com", "2024-01-09"), (1, "http://x.a.b.com/", "2024-01-20")]
     captures = spark.createDataFrame(rows, "page_id long, url string, fetched string").withColumn("fetched", F.col("fetched").cast("date")).withColumn("host", F.lit("clash"))
-    for most in (100, 0):
-        got = sorted((r["page_id"], r["n_active"], r["categories"], r["blocked"]) for r in urlfilter.judge(captures, entries, broadcast_rows=most).collect())
+    for clash in ("category", "suffix", "valid_from", "valid_to", "row", "time", "kept", "n_active", "day"):
+        got = urlfilter.judge(captures.withColumn(clash, F.lit(f"own {clash}")), entries)
+        assert clash == "n_active" or {r[clash] for r in got.collect()} == {f"own {clash}"}
+    for threshold in ("10MB", "-1"):  # with and without a broadcast
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        got = sorted((r["page_id"], r["n_active"], r["categories"], r["blocked"]) for r in urlfilter.judge(captures, entries).collect())
         assert got == [(1, 2, "ads,malware", True), (1, 2, "ads,malware", True), (2, 0, "", False), (3, 1, "ads", True), (4, 0, "", False), (5, 0, "", False), (6, 0, "", False), (7, 0, "", False)]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 # 10
