@@ -5,10 +5,13 @@ around them). Every paragraph has a wide hashed vector, and a document's fingerp
 their sum, lane by lane modulo a power of two, so the paragraphs' order doesn't count and
 a paragraph is inserted or deleted by adding or subtracting its vector.
 
-* 8 lanes modulo 2^64, hashed from the whole paragraph: equality of multisets.
-* 256 lanes modulo 2^16: each run of three words of the paragraph adds +1 or -1 to one
-  lane. These sums keep inner products, from which the likeness of two documents is read
-  as |A and B| / |A or B| over the runs.
+* 8 lanes modulo 2^64, from four 128-bit hashes of the whole paragraph under seeds of their
+  own: equality of multisets.
+* LANES lanes modulo 2^16: each run of three words of the paragraph (with its number, where the
+  paragraph repeats it) adds +1 or -1 to one lane. These sums keep inner products, so with
+  x and y the counts of two documents' numbered runs their likeness is read as
+  xy / (xx + yy - xy), which is |A and B| / |A or B| of the multisets where no paragraph is
+  repeated within a document. The standard error of xy is about sqrt(xx * yy / LANES).
 
 Defined results: a null or empty text is the empty multiset (all lanes 0) and is fully
 like another one; texts are read whole; repeated rows are rows of their own; equal ids are
@@ -32,11 +35,23 @@ from orrery.llm.shingles import GOLDEN, mix, shingle_hashes
 from orrery.llm.words import slices
 from orrery.runtime import shuffle_partitions, table
 
-WIDE, LANES, RUN = 8, 256, 3
+WIDE, LANES, RUN = 8, 512, 3
 #: Texts that are summed at a time (LANES counters each).
 ROWS = 2048
 
 
+def numbered(h: np.ndarray, paragraph: np.ndarray) -> np.ndarray:
+    """The hashes of runs, those that their paragraph repeats changed by their number in it."""
+    key = h ^ mix(paragraph)
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    place = np.arange(len(h))
+    nth = np.zeros(len(h), np.uint64)
+    nth[order] = place - np.maximum.accumulate(np.where(new, place, 0))
+    return np.where(nth > 0, mix(h + nth * GOLDEN), h)
+
+
 def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(wide, lanes): uint64[rows, WIDE] and int16[rows, LANES] sums over each text's paragraphs."""
     wide, lanes = np.zeros((len(texts), WIDE), np.uint64), np.zeros((len(texts), LANES), np.int16)
@@ -51,14 +66,17 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             rows = slice(at + first, at + first + len(part))
             if not len(row):
                 continue
-            raw = np.array([xxhash.xxh3_64_intdigest(p) for p in flat.cast(pa.large_binary()).to_pylist()], np.uint64)
             starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            for k in range(WIDE):
-                wide[at + first + row[starts], k] = np.add.reduceat(mix(raw + np.uint64((int(GOLDEN) * (k + 1)) % 2**64)), starts)
+            paragraphs = flat.cast(pa.large_binary()).to_pylist()
+            for k in range(WIDE // 2):
+                raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p, k + 1) for p in paragraphs]), "<u8").reshape(-1, 2)
+                wide[at + first + row[starts], 2 * k : 2 * k + 2] = np.add.reduceat(raw, starts, axis=0)
             total = np.zeros(len(part) * LANES)
             for p, h, to in shingle_hashes(flat, RUN, lower=False):
-                where = np.repeat(row[p : p + len(to) - 1], np.diff(to)) * LANES + (h & np.uint64(LANES - 1)).astype(np.int64)
-                total += np.bincount(where, 1.0 - 2.0 * ((h >> np.uint64(8)) & np.uint64(1)).astype(float), len(total))
+                sizes = np.diff(to)
+                h = numbered(h, np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes))
+                where = np.repeat(row[p : p + len(sizes)], sizes) * LANES + (h & np.uint64(LANES - 1)).astype(np.int64)
+                total += np.bincount(where, 1.0 - 2.0 * ((h >> np.uint64(32)) & np.uint64(1)).astype(float), len(total))
             lanes[rows] = total.astype(np.int64).astype(np.int16).reshape(-1, LANES)
     return wide, lanes
 
