@@ -9,7 +9,8 @@ that words share is thus encoded once, and a word costs one state per new charac
 
 Defined results: a null or empty text has no tokens and decodes to ''. Repeated rows
 give repeated rows. Texts of any length are encoded whole. Literal special tokens in a
-text are those tokens. An empty table gives an empty table. Other columns of the input
+text are those tokens. A vocabulary file with another normaliser, pre-tokeniser, decoder or
+kind of model is refused with ValueError. An empty table gives an empty table. Other columns of the input
 are not read, so clashing names don't matter.
 """
 
@@ -31,6 +32,14 @@ from orrery.runtime import table
 
 SPACE = "\t-\r \x85\xa0  -     　"
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+#: What a vocabulary file must state, as the code follows it; another one is refused.
+SUPPORTED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+    "decoder": None,
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False},
+}
 
 
 def byte_symbols() -> list[str]:
@@ -47,6 +56,12 @@ class TrieBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        for what, want in SUPPORTED.items():
+            found = model if what == "model" else spec.get(what)
+            if (found if what != "model" else {k: found.get(k) for k in want}) != want:
+                raise ValueError(f"{path}: the {what} is not the one that this encoder follows")
+        if not model.get("end_of_word_suffix") or any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: a suffix at words' ends and plain special tokens are expected")
         self.end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}

@@ -119,8 +119,10 @@ class BestFit:
 def pack(found: DataFrame, length: int = 2048, id_col: str = "doc_id", open_bins: int = OPEN_BINS, task: int = PIECES_A_TASK) -> DataFrame:
     """Place pieces (id_col, piece, length, ...) of at most `length` into sequences.
 
-    Adds sequence_id long and offset long. `found` is counted first; give it materialised.
+    Adds sequence_id long and offset long, in place of columns of these names. `found` is counted
+    first; give it materialised.
     """
+    found = found.drop("sequence_id", "offset")
     parts = max(1, -(-found.count() // task))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,6 +114,26 @@ def test_bpe_equals_library(spark, folder, texts):
         assert digests[i]["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    good = json.load(open(VOCABULARY, encoding="utf-8"))
+    for what, value in (("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("decoder", {"type": "ByteLevel"}), ("model", good["model"] | {"byte_fallback": True})):
+        path = tmp_path / f"{what}.json"
+        path.write_text(json.dumps(good | {what: value}))
+        with pytest.raises(ValueError, match=what):
+            bpe.TrieBPE(str(path))
+    with pytest.raises(ValueError, match="normalizer|model"):
+        bpe.TrieBPE(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_packing_replaces_its_own_columns(spark):
+    found = spark.createDataFrame([(1, 0, 5, "a", "b"), (1, 0, 5, "a", "b"), (2, 0, 2048, "a", "b")], "doc_id long, piece int, length long, sequence_id string, offset string")
+    out = packing.pack(found)
+    assert out.columns == ["doc_id", "piece", "length", "sequence_id", "offset"]
+    assert sorted((r["length"], r["offset"]) for r in out.collect()) == [(5, 0), (5, 5), (2048, 0)]
+
+
 def test_packing(spark, folder, texts):
     t = Tokenizer.from_file(VOCABULARY)
     rows = packing.op7_packing(spark, folder).collect()
