@@ -46,8 +46,8 @@ from orrery.runtime import table
 BUCKETS, WIDTH, EPOCHS, RATE, SEED = 1 << 16, 16, 4, 0.6, 7
 #: Labelled documents to learn from: at most so many a language, in all, and bytes of their texts in all.
 SAMPLE, SAMPLE_ALL, SAMPLE_BYTES = 800, 8000, 32_000_000
-#: Groups that a language's rows are ranked in first, so that no task ranks all of them.
-SALT = 64
+#: Samples of a language that the first bound on the hash is set to leave.
+MARGIN = 1.5
 #: Learned documents that a bucket needs to have an embedding of its own; one text in so many gives a negative.
 RARE, NEGATIVE = 2, 4
 #: Letters that negatives may take beside the sample's own: one range of code points a script.
@@ -92,7 +92,7 @@ def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    scores: np.ndarray  # a bucket's contribution to each language and to none of them
+    scores: np.ndarray  # a row a language, and one for none of them: each bucket's contribution, in single precision
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
@@ -100,7 +100,7 @@ class Model:
     def logits(self, texts: pa.Array) -> np.ndarray:
         bucket, row = subwords(texts)
         n = np.maximum(1, np.bincount(row, minlength=len(texts)))
-        return np.stack([np.bincount(row, self.scores[:, k][bucket], len(texts)) / n for k in range(len(self.bias))], axis=1) + self.bias
+        return np.stack([np.bincount(row, self.scores[k][bucket], len(texts)) / n for k in range(len(self.bias))], axis=1) + self.bias
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
         """Of each language, and of none in the last column."""
@@ -175,7 +175,7 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
             # a subword's share of the mean is small, so its step is scaled up to the number of subwords; not that of a frequent one
             embed[bucket] -= rate * np.outer(np.minimum(share * min(len(bucket), 256), STEP), back)
     scores = (embed @ layer).astype(float)
-    model = Model(languages, scores[to], bias.astype(float))
+    model = Model(languages, np.ascontiguousarray(scores[to].T, dtype=np.float32), bias.astype(float))
     hold = np.flatnonzero(kept)
     if len(hold):
         z = np.stack([share.astype(float) @ scores[bucket] for bucket, share in (docs[i] for i in hold)]) + model.bias
@@ -219,17 +219,36 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def sampled(rows: DataFrame, counts: dict[str, int]) -> list:
+    """(id, lang, bytes) of the first SAMPLE ids of each language by hash, SAMPLE_ALL in all, from labelled rows (id, lang, text).
+
+    Only rows below a hash that leaves about MARGIN samples of their language are ranked, so a
+    language with a third of all rows costs as much as a rare one. Where repeated ids leave
+    too few, the bound rises for all.
+    """
+    place, wide = F.xxhash64("id"), 1.0
+    while True:
+        below = {x: min(1.0, wide * (MARGIN * SAMPLE + 50) / n) for x, n in counts.items()}
+        bound = F.element_at(F.create_map(*(F.lit(v) for x, part in below.items() for v in (x, int(-(2**63) + part * (2**64 - 2048))))), F.col("lang"))
+        near = rows.where(place <= bound).groupBy("lang", "id").agg(F.min(F.octet_length("text")).alias("bytes"))
+        ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))).where(F.col("k") <= SAMPLE)
+        found = ranked.orderBy("k", "lang").collect()
+        got: dict[str, int] = {}
+        for r in found:
+            got[r["lang"]] = got.get(r["lang"], 0) + 1
+        if all(part == 1 or got.get(x, 0) >= SAMPLE for x, part in below.items()):
+            return found[:SAMPLE_ALL]
+        wide *= 8
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
     """Learn from a bounded sample of the labelled rows that are not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    order = [F.xxhash64("id"), F.col("id")]
-    one = rows.groupBy("id").agg(F.min("lang").alias("lang"), F.min(F.octet_length("text")).alias("bytes"))
-    # ranked in SALT groups of a language first: what is left for the second rank is bounded
-    salted = one.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)))
-    few = salted.withColumn("k", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("k") <= SAMPLE).drop("k")
-    ranked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= SAMPLE)
-    first = ranked.orderBy("k", "lang").limit(SAMPLE_ALL).select("id", "lang", "bytes").collect()
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return None
+    first = sampled(rows, counts)
     share = SAMPLE_BYTES // max(1, len({r["lang"] for r in first}))
     used: dict[str, int] = {}
     ids = []
@@ -239,7 +258,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
             ids.append(r["id"])
     once = rows.where(F.col("id").isin(ids) & F.col("text").isNotNull()).groupBy("id").agg(F.min(F.struct("lang", "text")).alias("m"))
     sample = once.select("id", "m.lang", "m.text").toArrow().sort_by("id")
-    return train(sample["text"].to_pylist(), sample["lang"].to_pylist())
+    texts, labels = sample["text"].to_pylist(), sample["lang"].to_pylist()
+    del sample
+    try:
+        return train(texts, labels)
+    finally:
+        release()  # the driver lives on, too
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

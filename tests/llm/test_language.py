@@ -37,7 +37,6 @@ def test_unseen_languages_are_rejected(spark, size):
 
 def test_sample_is_bounded_and_ties_are_defined(spark, monkeypatch):
     monkeypatch.setattr(language, "SAMPLE", 5)
-    monkeypatch.setattr(language, "SALT", 3)
     seen = []
     monkeypatch.setattr(language, "train", lambda texts, labels: seen.append((texts, labels)))
     rows = [(i, f"text {i}", "xy"[i % 2]) for i in range(200)] + [(400 + i, "w" * 3000, "x") for i in range(40)] + [(3, "a text", "y"), (None, "t", "x"), (7, None, "x"), (11, "t", None)]
@@ -49,12 +48,15 @@ def test_sample_is_bounded_and_ties_are_defined(spark, monkeypatch):
     ids = docs.where(~language.held_out("doc_id") & F.col("lang").isNotNull()).groupBy("doc_id").agg(F.min("lang").alias("lang")).where("lang = 'x'").orderBy(F.xxhash64("doc_id")).limit(5).collect()
     by_id = {i: t for i, t, _ in rows[:240]}
     assert sorted(t for t, x in zip(texts, labels, strict=True) if x == "x") == sorted(by_id[r["doc_id"]] for r in ids)
+    monkeypatch.setattr(language, "MARGIN", 0.01)  # a first bound that leaves too few
+    language.fit(docs)
+    assert seen.pop() == (texts, labels)
     monkeypatch.setattr(language, "SAMPLE_BYTES", 40)
     language.fit(docs)
     assert sum(map(len, seen.pop()[0])) <= 40
 
 
 def test_equal_scores_go_to_the_first():
-    model = language.Model(["a", "b"], np.zeros((language.BUCKETS, 3)), np.zeros(3))
+    model = language.Model(["a", "b"], np.zeros((3, language.BUCKETS)), np.zeros(3))
     best, score, _ = model.predict(pa.array(["some words", ""], pa.large_string()))
     assert best.tolist() == [0, 0] and np.allclose(score, 1 / 3)
