@@ -15,6 +15,8 @@ from orrery.runtime import discard, materialize, table
 
 #: Name of a column that no table of documents has.
 ROW = "orrery_document_row"
+#: Rows of duplicates that are broadcast at most (under 100 MB); beyond, the texts are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -35,9 +37,9 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     named = docs.withColumn(ROW, key)
     classes, _ = jaccard.links_and_classes(named, id_col=ROW)
     classes = classes.where("n_shingles > 0").groupBy(ROW).agg(F.first("component_id").alias("kept"), F.count(F.lit(1)).alias("copies"))
-    # (row, keep): what leaves, and what stays once; the engine sees the size of the table and chooses the join
+    # what leaves, and what stays once: a row of some 80 bytes each, sent to all executors up to BROADCAST_ROWS of them
     odd = materialize(classes.where((F.col(ROW) != F.col("kept")) | (F.col("copies") > 1)).select(ROW, (F.col(ROW) == F.col("kept")).alias("orrery_once")), "duplicates")
-    met = named.join(odd, ROW, "left")
+    met = named.join(F.broadcast(odd) if odd.count() <= BROADCAST_ROWS else odd, ROW, "left")
     clean = met.where("orrery_once IS NULL").select(*docs.columns)
     if odd.where("orrery_once").isEmpty():
         return clean
