@@ -229,7 +229,7 @@ def sampled(rows: DataFrame, counts: dict[str, int]) -> list:
     place, wide = F.xxhash64("id"), 1.0
     while True:
         below = {x: min(1.0, wide * (MARGIN * SAMPLE + 50) / n) for x, n in counts.items()}
-        bound = F.element_at(F.create_map(*(F.lit(v) for x, part in below.items() for v in (x, int(-(2**63) + part * (2**64 - 2048))))), F.col("lang"))
+        bound = F.element_at(F.create_map(*(F.lit(v) for x, part in below.items() for v in (x, 2**63 - 1 if part == 1 else int(part * 2**64) - 2**63))), F.col("lang"))
         near = rows.where(place <= bound).groupBy("lang", "id").agg(F.min(F.octet_length("text")).alias("bytes"))
         ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))).where(F.col("k") <= SAMPLE)
         found = ranked.orderBy("k", "lang").collect()
