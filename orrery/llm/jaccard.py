@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orrery.llm.components import components
 from orrery.llm.shingles import GOLDEN, mix, shingle_hashes
+from orrery.llm.words import release
 from orrery.runtime import materialize, shuffle_partitions, table
 
 #: Counters of the frequency sketch and bits of the candidate filter: fixed sizes, broadcast.
@@ -318,6 +319,7 @@ def lists(dealt: DataFrame, percent: int) -> DataFrame:
             return
         p = np.frombuffer(b"".join(raw), POSTING)
         del raw
+        release()
         p = p[np.argsort(p["token"], kind="stable")]
         same = p["token"][1:] == p["token"][:-1]
         both = np.zeros(len(p), bool)
@@ -348,10 +350,13 @@ def lists(dealt: DataFrame, percent: int) -> DataFrame:
             ok = (p["fp"] != m["fp"]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((100 + percent) * rest >= percent * (n1 + n2))
             pairs = np.stack([np.minimum(p["fp"][ok], m["fp"][ok]), np.maximum(p["fp"][ok], m["fp"][ok])], axis=1)
             found = np.unique(np.concatenate([found, pairs]), axis=0)
+            del seed, order, m, n1, n2, rest, ok, pairs
         for a in range(0, len(found), 50_000):
             q = found[a : a + 50_000]
             none = pa.nulls(len(q), pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(q[:, 0]), pa.nulls(len(q), pa.int32()), pa.nulls(len(q), pa.int32()), pa.array(q[:, 1])], names)
+        del p, starts, sizes, which, found
+        release()
 
     return dealt.mapInArrow(run, "token long, fp long, n int, at int, mid long")
 

@@ -54,8 +54,8 @@ RARE, NEGATIVE = 2, 4
 SCRIPTS = ((0x100, 0x17F), (0x391, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0x3042, 0x3093), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 #: Most that a subword's embedding moves in a step, in parts of the gradient at the mean: the shared bucket would diverge without.
 STEP = 4.0
-#: Bytes of text whose subwords the driver holds at a time.
-TRAIN_BYTES = 500_000
+#: Bytes of text whose subwords the driver, and a worker, hold at a time.
+TRAIN_BYTES, PREDICT_BYTES = 500_000, 1_000_000
 #: Share of the right predictions on kept-back rows that rejection may cost.
 REJECTED = 0.002
 
@@ -273,7 +273,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = seen.value
         for batch in batches:
-            for first, part in slices(batch.column(1), 2_000_000):
+            for first, part in slices(batch.column(1), PREDICT_BYTES):
                 lettered = pc.match_substring_regex(part, r"\p{L}").to_numpy(zero_copy_only=False)
                 if m is None:
                     name, score = np.full(len(part), "und", object), np.zeros(len(part))
@@ -296,7 +296,7 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = seen.value
         for batch in batches:
-            for first, part in slices(batch.column(at), 2_000_000):
+            for first, part in slices(batch.column(at), PREDICT_BYTES):
                 keep = pc.match_substring_regex(part, r"\p{L}").to_numpy(zero_copy_only=False)
                 keep &= ~m.predict(part)[2] if m else False
                 yield batch.slice(first, len(part)).filter(pa.array(keep))

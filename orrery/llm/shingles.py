@@ -15,7 +15,7 @@ GOLDEN, MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5
 
 
 #: Bytes of text whose shingles are held at a time.
-SHINGLE_BYTES = 4_000_000
+SHINGLE_BYTES = 2_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -105,11 +105,15 @@ class PieceCache:
         """(ids of all texts, bounds of each text among them)."""
         words, codes, bounds = split_words(texts)
         words = words.to_pylist()
-        if len(self.slot) + sum(w not in self.slot for w in words) > self.most:
+        found = list(map(self.slot.get, words))
+        new = [w for w, k in zip(words, found, strict=True) if k is None]
+        if len(self.slot) + len(new) > self.most:
             self.forget()
-        if new := [w for w in words if w not in self.slot]:
+            new = [w for w in words if w not in self.slot]
+        if new:
             self.add(new)
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+            found = list(map(self.slot.__getitem__, words))
+        slots = np.array(found, np.int64)
         self.used[slots] += 1
         sizes = self.size[slots][codes]
         ids = self.ids[gather(self.start[slots][codes], sizes)]
