@@ -57,6 +57,27 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, codes, bounds
 
 
+def parts_of(words: pa.Array, codes: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The same with A-Z in lower case, and a single full stop or comma after a letter as a word of its own.
+
+    For vocabularies that lower-case their input and cut marks from letters this changes no
+    token and leaves fewer distinct words. Words with `<|` stay: special tokens are told by case.
+    """
+    low = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
+    marked = pc.match_substring_regex(low, "[a-z][.,]$")
+    has = marked.to_numpy(zero_copy_only=False)
+    coded = pc.if_else(marked, pc.utf8_slice_codeunits(low, 0, -1), low).dictionary_encode()
+    n = len(coded.dictionary)
+    stop, stem = pc.ends_with(low, ".").to_numpy(zero_copy_only=False), np.asarray(coded.indices, np.int64)
+    units = 1 + has[codes]
+    ends = np.cumsum(units)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+    out[ends - units] = stem[codes]
+    two = np.flatnonzero(units == 2)
+    out[ends[two] - 1] = np.where(stop[codes[two]], n, n + 1)
+    return pa.concat_arrays([coded.dictionary, pa.array([".", ","], coded.dictionary.type)]), out, np.concatenate([[0], ends])[bounds]
+
+
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the concatenated ranges starts[i] .. starts[i] + lengths[i] - 1."""
     total = int(lengths.sum())
@@ -71,7 +92,7 @@ class PieceCache:
     """Token ids of texts by way of their distinct words, which a worker remembers between slices.
 
     `encode` gives the ids of each word; the tokenizer's result for a text must be the
-    concatenation over its words. At most `most` words (about 200 bytes each) are kept:
+    concatenation over its words, as `parts_of` makes them. At most `most` words (about 200 bytes each) are kept:
     when they are full, those that fewer than two of the slices since used are forgotten.
     """
 
@@ -104,6 +125,7 @@ class PieceCache:
     def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of each text among them)."""
         words, codes, bounds = split_words(texts)
+        words, codes, bounds = parts_of(words, codes, bounds)
         words = words.to_pylist()
         found = list(map(self.slot.get, words))
         new = [w for w, k in zip(words, found, strict=True) if k is None]

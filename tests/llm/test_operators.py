@@ -114,6 +114,19 @@ def test_bpe_equals_library(spark, folder, texts):
         assert digests[i]["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def test_words_and_marks_encode_as_the_library():
+    """Cases and marks at words' ends that the cache takes apart."""
+    import pyarrow as pa
+
+    t, rng = Tokenizer.from_file(VOCABULARY), random.Random(6)
+    some = ["Word", "word", ".", ",", "a", "É", "é", "'S", "'s.", "don't,", "Don'T.", "<|endoftext|>", "<|EndOfText|>", "<|", "|>", "x1.", "1.", "..", "a.,", "İ.", "ΑΣ,", "Σ.", "ﬁ.", "\u0301", "e\u0301.", "A\u030a,", " ", "\n", "\xa0", "\u2003", "日.", "_.", "%,", "K."]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["Word. Word, word", "<|endoftext|>.", "", "."]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for known in (packing.cache(VOCABULARY), bpe.encoder(VOCABULARY)[1]):
+        ids, bounds = known.tokens(pa.array(texts, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == want
+
+
 def test_other_vocabularies_are_refused(tmp_path):
     import json
 
