@@ -9,13 +9,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from orrery.functions.scalars import LEVELS, only_one, reasons
 
 
-def code_family(rows: DataFrame, code: str, ranges: DataFrame) -> DataFrame:
+def code_family(rows: DataFrame, code: str, ranges: DataFrame, most: int = 500) -> DataFrame:
     """Adds family of an integer code from inclusive ranges (lo, hi, family); `unmapped` outside.
 
-    The ranges are a short literal table, so the range join is a broadcast one.
+    The ranges are disjoint. They are taken to the driver after a count of at most `most` and become
+    one expression, so there is no join; a longer table is an error.
     """
-    r = F.broadcast(ranges)
-    return rows.join(r, F.col(code).between(r["lo"], r["hi"]), "left").drop("lo", "hi").withColumn("family", F.coalesce("family", F.lit("unmapped")))
+    n = ranges.count()
+    if n > most:
+        raise ValueError(f"{n} ranges, more than {most}")
+    found = F.lit(None).cast("string")
+    for r in ranges.select("lo", "hi", "family").collect():
+        found = F.when(F.col(code).between(r["lo"], r["hi"]), r["family"]).otherwise(found)
+    return rows.withColumn("family", found).withColumn("family", F.coalesce("family", F.lit("unmapped")))
 
 
 def size_stratum(rows: DataFrame, keys: list[str], label: str, strata: Mapping[str, str]) -> DataFrame:

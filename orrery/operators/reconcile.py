@@ -33,9 +33,15 @@ def representatives(rows: DataFrame, key: str, order: list[str], columns: list[s
     return rows.groupBy(key).agg(F.min(F.struct(*order, *(c for c in columns if c not in order))).alias("m"), (F.count(F.lit(1)) - 1).alias("n_extra")).select(key, *(F.col(f"m.{c}").alias(c) for c in columns), "n_extra")
 
 
+def cells(columns: list[str]) -> Column:
+    """The columns as one text in which no two different rows are equal: a null has a mark of its own, and the separator is escaped."""
+    plain = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), plain(c)), F.lit("null")) for c in columns))
+
+
 def release_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """key, change (added, removed, changed) between two releases; unchanged keys are left out."""
-    digest = F.sha2(F.concat_ws("", *(F.coalesce(F.col(c).cast("string"), F.lit("\\u0000null")) for c in columns)), 256)
+    digest = F.sha2(cells(columns), 256)
     a, b = old.select(F.col(key).alias("a"), digest.alias("a_digest")), new.select(F.col(key).alias("b"), digest.alias("b_digest"))
     out = a.join(b, F.col("a") == F.col("b"), "full")
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a_digest") != F.col("b_digest"), "changed")
@@ -63,6 +69,6 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep_first: list[str], larg
 
 
 def insert_new(old: DataFrame, new: DataFrame, id_columns: list[str]) -> DataFrame:
-    """The new rows, with their deterministic id, that the old table doesn't have yet."""
-    made = new.withColumn("row_id", F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in id_columns)), 256))
+    """The new rows, with their deterministic id (of `cells`), that the old table doesn't have yet."""
+    made = new.withColumn("row_id", F.sha2(cells(id_columns), 256))
     return made.dropDuplicates(["row_id"]).join(old.select("row_id"), "row_id", "left_anti")

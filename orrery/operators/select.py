@@ -240,12 +240,16 @@ def cap_usage(filings: DataFrame, entity: str, role: Column, caps: Mapping[str,
 
 
 def reserves(selected: DataFrame, pool: DataFrame, id_col: str, signature: list[str], rank: Column) -> DataFrame:
-    """id_col, reserve, outcome: for each selected entity the first pool entity in rank order with an equal signature.
+    """id_col, reserve, outcome: for each selected entity the first other pool entity in rank order with an equal signature.
 
-    The pool is reduced to one entity a signature first, so one signature may hold any share.
+    The pool is reduced to two entities a signature first, so one signature may hold any share:
+    the second is for a selected entity that is the first itself.
     """
-    first = pool.groupBy(*signature).agg(F.min(F.struct(rank.alias("rank"), F.col(id_col).alias("reserve"))).alias("m")).select(*signature, "m.reserve")
-    out = selected.join(first, signature, "left")
+    one = pool.groupBy(*signature, F.col(id_col).alias("reserve")).agg(F.min(rank).alias("rank"))
+    first = one.groupBy(*signature).agg(F.min(F.struct("rank", "reserve")).alias("m"))
+    second = one.join(first, signature).where(F.col("reserve") != F.col("m.reserve")).groupBy(*signature).agg(F.min(F.struct("rank", "reserve")).alias("m2"))
+    two = first.join(second, signature, "left").select(*signature, F.col("m.reserve").alias("first"), F.col("m2.reserve").alias("second"))
+    out = selected.join(two, signature, "left").withColumn("reserve", F.when(F.col("first") == F.col(id_col), F.col("second")).otherwise(F.col("first")))
     return out.select(id_col, "reserve", F.when(F.col("reserve").isNull(), "no_compatible_reserve").otherwise("reserve").alias("outcome"))
 
 

@@ -59,7 +59,7 @@ def calendar_spine(days: DataFrame, first: str, last: str, non_operating: DataFr
     spine = days.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
     off = F.dayofweek("day").isin(1, 7)
     if non_operating is not None:
-        spine = spine.join(F.broadcast(non_operating.select("day", F.lit(True).alias("closed"))), "day", "left")
+        spine = spine.join(non_operating.select("day", F.lit(True).alias("closed")).distinct(), "day", "left")
         off = off | F.coalesce("closed", F.lit(False))
     spine = spine.withColumn("operates", ~off)
     ahead = Window.orderBy("day").rowsBetween(1, 30)

@@ -208,7 +208,7 @@ SELECT state, count(*) AS n, min(k) AS lowest, sum(k)::BIGINT AS total FROM j GR
 
 
 def q30(spark, d):
-    plan = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
+    plan = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
     return X.plan_status(plan, table(spark, d, "customer").where("c_nationkey % 4 <> 0"), "c_nationkey")
 
 
@@ -249,7 +249,7 @@ SELECT k, n_union, n_submissions, n_index, uncorroborated, n_bindable, CAST(CASE
 
 def q34(spark, d):
     li, s = table(spark, d, "lineitem"), table(spark, d, "supplier")
-    one = li.select("l_orderkey", "l_suppkey").distinct().join(F.broadcast(s.select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
+    one = li.select("l_orderkey", "l_suppkey").distinct().join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     return one.groupBy("s_nationkey").agg(F.count_distinct("l_orderkey").alias("n_filings"), n_rows().alias("n_attributions"))
 
 
@@ -283,8 +283,10 @@ def q37(spark, d):
 
 
 Q37 = """
-SELECT 'orders' AS metric, 'value' AS status, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'huge_lines', 'zero', NULL UNION ALL SELECT 'last_missing', 'unavailable', NULL
-UNION ALL SELECT 'distinct_suppliers', 'value', count(DISTINCT l_suppkey)::DOUBLE FROM lineitem UNION ALL SELECT 'refunds', 'blocked', NULL
+WITH m AS (SELECT 'orders' AS metric, count(*)::DOUBLE AS v, false AS blocked FROM orders UNION ALL SELECT 'huge_lines', count(*)::DOUBLE, false FROM lineitem WHERE l_quantity > 1000
+UNION ALL SELECT 'last_missing', max(event_id)::DOUBLE, false FROM events WHERE event_type = 'none' UNION ALL SELECT 'distinct_suppliers', count(DISTINCT l_suppkey)::DOUBLE, false FROM lineitem UNION ALL SELECT 'refunds', count(*)::DOUBLE, true FROM events),
+s AS (SELECT *, CASE WHEN blocked THEN 'blocked' WHEN v IS NULL THEN 'unavailable' WHEN v = 0 THEN 'zero' ELSE 'value' END AS status FROM m)
+SELECT metric, status, CASE WHEN status = 'value' THEN v END AS value FROM s
 """
 
 
@@ -356,14 +358,19 @@ Q44 = digest_sql("region", ["r_regionkey", "r_name"]) + " UNION ALL " + digest_s
 
 
 def q45(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").alias("y"))
-    new = o.where("o_orderkey % 10 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 9 == 0, "Z").otherwise(F.col("o_orderstatus")))
-    return X.release_diff(o.where("o_orderkey % 7 <> 0"), new, "o_orderkey", ["o_orderstatus", "y"])
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").cast("string").alias("y"))
+    # texts that are equal once they run together, and a null that changes its place
+    old = o.withColumn("o_orderstatus", F.when(k % 11 == 4, "ab").when(k % 11 != 5, F.col("o_orderstatus"))).withColumn("y", F.when(k % 11 == 4, "c").when(k % 11 == 5, "a").otherwise(F.col("y")))
+    new = o.withColumn("o_orderstatus", F.when(k % 11 == 4, "a").when(k % 11 == 5, "a").when(k % 9 == 0, "Z").otherwise(F.col("o_orderstatus"))).withColumn("y", F.when(k % 11 == 4, "bc").when(k % 11 != 5, F.col("y")))
+    return X.release_diff(old.where("o_orderkey % 7 <> 0"), new.where("o_orderkey % 10 <> 0"), "o_orderkey", ["o_orderstatus", "y"])
 
 
 Q45 = """
-WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, year(o_orderdate) AS y FROM orders), a AS (SELECT * FROM o WHERE k % 7 <> 0), b AS (SELECT k, CASE WHEN k % 9 = 0 THEN 'Z' ELSE s END AS s, y FROM o WHERE k % 10 <> 0),
-j AS (SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.s <> b.s OR a.y <> b.y THEN 'changed' END AS change FROM a FULL JOIN b ON a.k = b.k)
+WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, year(o_orderdate)::VARCHAR AS y FROM orders),
+a AS (SELECT k, CASE WHEN k % 11 = 4 THEN 'ab' WHEN k % 11 <> 5 THEN s END AS s, CASE WHEN k % 11 = 4 THEN 'c' WHEN k % 11 = 5 THEN 'a' ELSE y END AS y FROM o WHERE k % 7 <> 0),
+b AS (SELECT k, CASE WHEN k % 11 IN (4, 5) THEN 'a' WHEN k % 9 = 0 THEN 'Z' ELSE s END AS s, CASE WHEN k % 11 = 4 THEN 'bc' WHEN k % 11 <> 5 THEN y END AS y FROM o WHERE k % 10 <> 0),
+j AS (SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.s IS DISTINCT FROM b.s OR a.y IS DISTINCT FROM b.y THEN 'changed' END AS change FROM a FULL JOIN b ON a.k = b.k)
 SELECT * FROM j WHERE change IS NOT NULL
 """
 

@@ -89,7 +89,7 @@ def q57(spark, d):
 
 def q58(spark, d):
     docs = table(spark, d, "documents")
-    h = docs.select("doc_id", "source", F.sha2(F.concat_ws("|", "lang", "source", "text"), 256).alias("digest"), F.sha2("text", 256).alias("content"))
+    h = docs.select("doc_id", "source", F.sha2(X.cells(["lang", "source", "text"]), 256).alias("digest"), F.sha2("text", 256).alias("content"))
     return h.groupBy("content").agg(n_rows().alias("n"), F.count_distinct("digest").alias("n_records"), F.min("doc_id").alias("first_id"))
 
 
@@ -336,7 +336,7 @@ SELECT binding, count(*) AS n, coalesce(sum(CASE WHEN binding = 'bound' THEN con
 
 def q78(spark, d):
     li, s = table(spark, d, "lineitem"), table(spark, d, "supplier")
-    bridge = li.join(F.broadcast(s.select("s_suppkey", (F.col("s_nationkey") % 3).alias("category"))), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "category")
+    bridge = li.join(s.select("s_suppkey", (F.col("s_nationkey") % 3).alias("category")), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "category")
     return G.attach(bridge, "l_orderkey", "category").withColumn("category", F.coalesce(F.col("category").cast("string"), F.lit("closed")))
 
 

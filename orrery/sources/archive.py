@@ -15,17 +15,33 @@ MEMBER_BYTES, TOTAL_BYTES, RATIO, MEMBERS = 512 << 20, 64 << 30, 2000, 2_000_000
 SCHEMA = "archive string, member string, size long, problem string, content binary"
 
 
+#: Encoded separators and device names that a member's name may not have (fixed values).
+ENCODED = ("%2e", "%2f", "%5c", "%00")
+DEVICES = ("con", "prn", "aux", "nul", *(f"{port}{n}" for port in ("com", "lpt") for n in range(1, 10)))
+
+
 def canonical_name(name: str) -> tuple[str | None, str | None]:
-    """(normal form, problem) of a member's name; absolute, drive, traversing and empty names are refused."""
-    text = unicodedata.normalize("NFC", name).replace("\\", "/")
-    if not text or "\x00" in text:
-        return None, "EMPTY_NAME"
-    if text.startswith("/") or (len(text) > 1 and text[1] == ":"):
-        return None, "ABSOLUTE_NAME"
+    """(normal form, problem) of a member's name; a doubtful one is refused, never repaired.
+
+    The normal form is NFC without `.` and empty components.
+    """
+    text = unicodedata.normalize("NFC", name)
     parts = [p for p in text.split("/") if p not in ("", ".")]
-    if ".." in parts:
-        return None, "TRAVERSAL"
-    return ("/".join(parts), None) if parts else (None, "EMPTY_NAME")
+    folded = text.lower()
+    refused = (
+        (not text, "EMPTY_NAME"),
+        (any(ord(c) < 32 for c in text), "CONTROL_CHARACTER"),
+        (any(code in folded for code in ENCODED), "ENCODED_SEPARATOR"),
+        ("\\" in text, "BACKSLASH"),
+        (":" in text.split("/", 1)[0], "DRIVE_NAME"),
+        (text.startswith("/"), "ABSOLUTE_NAME"),
+        (".." in parts, "TRAVERSAL"),
+        (not parts, "EMPTY_NAME"),
+        (any(p[-1] in ". " for p in parts), "TRAILING_MARK"),
+        (any(p.split(".", 1)[0].casefold() in DEVICES for p in parts), "DEVICE_NAME"),
+    )
+    problem = next((why for holds, why in refused if holds), None)
+    return (None, problem) if problem else ("/".join(parts), None)
 
 
 def members(data: bytes, suffix: str | None = None, names: list[str] | None = None) -> Iterator[tuple[str, int, str | None, bytes | None]]:
@@ -46,9 +62,9 @@ def members(data: bytes, suffix: str | None = None, names: list[str] | None = No
         if name is not None:
             if (suffix and not name.endswith(suffix)) or (names is not None and name not in names):
                 continue
-            if name.lower() in seen:
+            if name.casefold() in seen:
                 problem = "NAME_COLLISION"
-            seen.add(name.lower())
+            seen.add(name.casefold())
             if kind not in (0, 0o100000):
                 problem = "SPECIAL_FILE"
             elif i.file_size > MEMBER_BYTES or i.file_size > RATIO * max(1, i.compress_size):

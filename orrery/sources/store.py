@@ -6,11 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_objects(rows: DataFrame, content: str, path: str) -> DataFrame:
-    """Append each distinct content once under its SHA-256, partitioned by the digest's first digits; returns (digest, size)."""
-    out = rows.select(F.sha2(content, 256).alias("digest"), F.col(content).alias("content")).dropDuplicates(["digest"])
-    out = out.withColumn("shard", F.substring("digest", 1, 2))
-    out.write.mode("append").partitionBy("shard").parquet(path)
-    return out.select("digest", F.length("content").alias("size"))
+    """Store each distinct content once under its SHA-256, partitioned by the digest's first digits; returns (digest, size).
+
+    Contents that an earlier call stored are not written again. One writer at a time: two that
+    run together may both store a content, which `verify_objects` and readers by digest bear.
+    """
+    spark = rows.sparkSession
+    every = rows.where(F.col(content).isNotNull()).select(F.sha2(content, 256).alias("digest"), F.col(content).alias("content")).dropDuplicates(["digest"])
+    every = every.withColumn("shard", F.substring("digest", 1, 2))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fresh = every
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        known = spark.read.schema("digest string, content binary, shard string").parquet(path).select("digest", "shard")
+        fresh = every.join(known, ["digest", "shard"], "left_anti").select("digest", "content", "shard")
+    fresh.write.mode("append").partitionBy("shard").parquet(path)
+    return every.select("digest", F.length("content").alias("size"))
 
 
 def verify_objects(spark: SparkSession, path: str) -> DataFrame:

@@ -54,6 +54,10 @@ def test_upsert_and_insert(spark):
     assert got == {(1, "a", 5, 6), (2, "c", 9, 2), (3, "d", 0, 0)}
     made = reconcile.insert_new(spark.createDataFrame([], "row_id string"), new.union(new), ["k", "first"])
     assert made.count() == 3 and reconcile.insert_new(made, new, ["k", "first"]).count() == 0
+    odd = spark.createDataFrame([(None, "a"), ("a", None), ("a|b", "c"), ("a", "b|c"), ("", None), (None, ""), ("null", "a"), ("a\\", "|b"), ("a", "\\|b")], "u string, v string")
+    assert reconcile.insert_new(spark.createDataFrame([], "row_id string"), odd, ["u", "v"]).count() == 9
+    a, b = (spark.createDataFrame(x, "k long, u string, v string") for x in ([(1, "ab", "c"), (2, None, "a"), (3, "x", "y")], [(1, "a", "bc"), (2, "a", None), (3, "x", "y")]))
+    assert {r["k"]: r["change"] for r in reconcile.release_diff(a, b, "k", ["u", "v"]).collect()} == {1: "changed", 2: "changed"}
 
 
 def test_chains(spark):
@@ -162,7 +166,9 @@ def test_json_and_text_sources(spark):
 
 def test_stores(spark, tmp_path):
     df = spark.createDataFrame([(b"a",), (b"b",), (b"a",)], "content binary")
-    assert store.write_objects(df, "content", str(tmp_path / "o")).count() == 2
+    for more in (df, df, df.union(spark.createDataFrame([(b"c",), (None,)], "content binary"))):
+        n = store.write_objects(more, "content", str(tmp_path / "o")).count()
+    assert n == 3 and spark.read.parquet(str(tmp_path / "o")).count() == 3
     assert all(r["ok"] for r in store.verify_objects(spark, str(tmp_path / "o")).collect())
     t = spark.createDataFrame([(2, "x"), (1, "y")], "k long, v string")
     store.write_json_lines(t, ["k"], str(tmp_path / "j"))
@@ -195,3 +201,16 @@ def test_streams_match_batch(spark, data, tmp_path):
     want = {(r["s"], r["event_type"]): r["n"] for r in batch.collect()}
     got = {(r["period_start"], r["event_type"]): r["n"] for r in spark.table("periods").collect()}
     assert got and all(want[k] == n for k, n in got.items())
+
+
+def test_member_names_are_refused_not_repaired():
+    good = {"a/b.txt": "a/b.txt", "./a//b": "a/b", "e\u0301.txt": "\xe9.txt", "a/b:c": "a/b:c", "console.txt": "console.txt"}
+    assert {n: archive.canonical_name(n) for n in good} == {n: (w, None) for n, w in good.items()}
+    bad = ["", "a%2e%2e/b", "a%2Fb", "con.txt", "x/LPT1", "a./b", "a /b", "a\x1fb", "a\x00", "ab:c", "C:/x", "/a", "../a", "a/../b", "a\\b", ".", "./"]
+    assert not [n for n in bad if archive.canonical_name(n)[1] is None]
+
+
+def test_a_reserve_is_another_entity(spark):
+    rows = spark.createDataFrame([(1, "s"), (2, "s"), (3, "s"), (4, "t"), (5, "u")], "id long, sig string")
+    got = {r["id"]: r["reserve"] for r in select.reserves(rows, rows.union(rows), "id", ["sig"], F.col("id")).collect()}
+    assert got == {1: 2, 2: 1, 3: 1, 4: None, 5: None}
