@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import entities, resolution, selection, studies, verdicts
+from orrery.plans import entities, resolution, selection, stores, studies, verdicts
 
-MODULES = (resolution, entities, selection, studies, verdicts)
+MODULES = (resolution, entities, selection, studies, verdicts, stores)
 
 
 def queries() -> dict:
