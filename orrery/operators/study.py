@@ -6,6 +6,7 @@ or one row a group, joined back by broadcast of that checked, small side.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -149,8 +150,15 @@ def classification_metrics(rows: DataFrame, label: str, score: str, id_col: str,
     return one.crossJoin(F.broadcast(ece)).select("n", *(F.round(c, 6).alias(c) for c in names))
 
 
+#: Chances of at most 0, 1, 2, ... under a Poisson(1) count, as far as a 24-bit number tells them from 1.
+POISSON = tuple(round(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)), 8) for k in range(10))
+
+
 def bootstrap(rows: DataFrame, entity: str, value: str, replicates: int, seed: str) -> DataFrame:
-    """replicate, estimate: the mean over entities drawn with the multiplicities 0..3 of a hash (seed, replicate, entity).
+    """replicate, estimate: the mean over entities drawn with Poisson(1) multiplicities of a hash (seed, replicate, entity).
+
+    The same seed gives an entity the same multiplicity whatever the value column, so estimates
+    of two columns are paired by replicate.
 
     Entities are summed first; each then meets the replicates, so the work is entities times
     replicates, whatever their rows.
@@ -158,8 +166,9 @@ def bootstrap(rows: DataFrame, entity: str, value: str, replicates: int, seed: s
     by = rows.where(F.col(value).isNotNull()).groupBy(entity).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
     each = by.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     u = F.conv(F.substring(seeded_rank(seed, F.col("replicate"), F.col(entity)), 1, 6), 16, 10).cast("long") / F.lit(16777216.0)
-    # a Poisson(1) count, cut at 3
-    m = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.9196986, 2).otherwise(3)
+    m = F.lit(len(POISSON))
+    for k, below in reversed(list(enumerate(POISSON))):
+        m = F.when(u < below, k).otherwise(m)
     drawn = each.withColumn("m", m).groupBy("replicate").agg((F.sum(F.col("m") * F.col("s")) / F.nullif(F.sum(F.col("m") * F.col("c")), F.lit(0))).alias("estimate"))
     return drawn.withColumn("estimate", F.round("estimate", 6))
 

@@ -248,13 +248,13 @@ SELECT max(n) AS n, round(avg(y), 6) AS prevalence, round(avg((p - y) * (p - y))
 
 
 def q70(spark, d):
-    return U.interval(U.bootstrap(margins(spark, d), "firm", "adjusted", 200, "20260725"))
+    return U.interval(U.bootstrap(margins(spark, d), "firm", "adjusted", 2000, "20260725"))
 
 
 Q70 = f"""
-WITH {MARGINS}, e AS (SELECT firm, sum(adjusted) AS s, count(*) AS c FROM ad WHERE adjusted IS NOT NULL GROUP BY 1), r AS (SELECT unnest(generate_series(1, 200)) AS rep),
+WITH {MARGINS}, e AS (SELECT firm, sum(adjusted) AS s, count(*) AS c FROM ad WHERE adjusted IS NOT NULL GROUP BY 1), r AS (SELECT unnest(generate_series(1, 2000)) AS rep),
 u AS (SELECT rep, s, c, ('0x' || substr(sha256('20260725|' || rep || '|' || firm), 1, 6))::BIGINT / 16777216.0::DOUBLE AS u FROM e, r),
-m AS (SELECT *, CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.9196986 THEN 2 ELSE 3 END AS m FROM u), b AS (SELECT rep, round(sum(m * s) / sum(m * c), 6) AS est FROM m GROUP BY 1)
+m AS (SELECT *, CASE {' '.join(f'WHEN u < {p:.8f} THEN {k}' for k, p in enumerate(U.POISSON))} ELSE {len(U.POISSON)} END AS m FROM u), b AS (SELECT rep, round(sum(m * s) / sum(m * c), 6) AS est FROM m GROUP BY 1)
 SELECT count(est) AS replicates, round(quantile_cont(est, 0.025), 6) AS low, round(quantile_cont(est, 0.5), 6) AS middle, round(quantile_cont(est, 0.975), 6) AS high FROM b
 """
 PVALUES = [("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.005), ("e", 0.9)]
