@@ -26,6 +26,8 @@ from orrery.runtime import materialize, table
 
 #: Pieces that one packing task takes, and the bins it keeps open.
 PIECES_A_TASK, OPEN_BINS = 250_000, 2048
+#: Bytes of text that are encoded at a time.
+TEXT_BYTES = 4_000_000
 
 
 @lru_cache(maxsize=4)
@@ -56,7 +58,7 @@ def pieces(docs: DataFrame, path: str, length: int = 2048, end_id: int = 0, id_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = cache(path)
         for batch in batches:
-            for first, part in slices(batch.column(1)):
+            for first, part in slices(batch.column(1), TEXT_BYTES):
                 ids, bounds = known.tokens(part)
                 sizes = np.diff(bounds) + 1
                 flat = np.full(int(sizes.sum()), end_id, "<u4")
