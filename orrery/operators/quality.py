@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from orrery.operators import order
+
 
 def metric(df: DataFrame, name: str, value: Column, blocked: bool = False) -> DataFrame:
     """One row (metric, status, value): zero is a status of its own, and null is unavailable."""
@@ -20,12 +22,10 @@ def percentile_rank(p: float, n: Column) -> Column:
 def distribution(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """by, n, lowest, median, mean, p75, p90, p95, highest by the rank rule above.
 
-    Values are counted first, so what is ordered is the distinct values of a group.
+    Values are counted first, and the distinct ones ranked by ranges.
     """
     keys = by or []
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("x")
-    cum = counts.withColumn("to", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy(*(keys or [F.lit(1)]))))
+    cum = order.counted(rows, value, keys).withColumnRenamed(value, "x").withColumn("to", F.col("first") + F.col("c"))
     at = lambda p: F.min(F.when(F.col("to") >= percentile_rank(p, F.col("n")), F.col("x")))
     return cum.groupBy(*keys).agg(F.max("n").alias("n"), F.min("x").alias("lowest"), at(50).alias("median"), F.round(F.sum(F.col("x") * F.col("c")) / F.sum("c"), 6).alias("mean"), at(75).alias("p75"), at(90).alias("p90"), at(95).alias("p95"), F.max("x").alias("highest"))
 

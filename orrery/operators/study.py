@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.functions.scalars import seeded_rank
+from orrery.operators import order
+from orrery.runtime import materialize
 
 
 def rolling_folds(rows: DataFrame, year: Column, folds: Sequence[tuple[int, int, int, int]]) -> DataFrame:
@@ -32,8 +34,11 @@ def yearly_change(rows: DataFrame, entity: str, day: str, value: str, least: int
 
 def median_adjusted(rows: DataFrame, value: str, fine: list[str], coarse: list[str], entity: str, firms: int = 10) -> DataFrame:
     """Adds adjusted: the value less its group's median; of the coarse group where the fine one has too few entities; null where both have."""
+    rows = materialize(rows, "medians")  # read by both medians and the join
+
     def medians(keys: list[str], name: str) -> DataFrame:
-        return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias(name), F.count_distinct(entity).alias(f"{name}_n")).where(F.col(f"{name}_n") >= firms).drop(f"{name}_n")
+        many = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count_distinct(entity).alias("orrery_n")).where(F.col("orrery_n") >= firms)
+        return order.percentiles(rows, value, {name: 0.5}, keys).join(many.drop("orrery_n"), keys)
 
     out = rows.join(medians(fine, "m_fine"), fine, "left").join(medians(coarse, "m_coarse"), coarse, "left")
     return out.withColumn("adjusted", F.col(value) - F.coalesce("m_fine", "m_coarse")).drop("m_fine", "m_coarse")
@@ -41,14 +46,14 @@ def median_adjusted(rows: DataFrame, value: str, fine: list[str], coarse: list[s
 
 def winsor(rows: DataFrame, value: str, train: Column, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Adds capped: the value within the training rows' percentiles."""
-    caps = rows.where(train).agg(F.percentile(value, F.lit(low)).alias("orrery_lo"), F.percentile(value, F.lit(high)).alias("orrery_hi"))
+    caps = order.percentiles(rows.where(train), value, {"orrery_lo": low, "orrery_hi": high})
     out = rows.crossJoin(F.broadcast(caps))  # one row
     return out.withColumn("capped", F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("orrery_lo")), F.col("orrery_hi")))).drop("orrery_lo", "orrery_hi")
 
 
 def severe(rows: DataFrame, value: str, train: Column, share: float = 0.10) -> DataFrame:
     """Adds cut and severe: at or below the training rows' percentile, rounded to six decimals."""
-    cut = rows.where(train).agg(F.round(F.percentile(value, F.lit(share)), 6).alias("cut"))
+    cut = order.percentiles(rows.where(train), value, {"cut": share}).select(F.round("cut", 6).alias("cut"))
     return rows.crossJoin(F.broadcast(cut)).withColumn("severe", F.round(F.col(value), 6) <= F.col("cut"))
 
 
@@ -60,9 +65,10 @@ def impute_scale(rows: DataFrame, columns: list[str], train: Column, drop_above:
     """
     share = rows.where(train).agg(*(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns)).first()
     kept = [c for c in columns if share[c] is not None and share[c] <= drop_above]
-    stats = rows.where(train).agg(*(F.percentile(c, F.lit([0.25, 0.5, 0.75])).alias(f"q_{c}") for c in kept))
-    out = rows.crossJoin(F.broadcast(stats))
+    out = rows
     for c in kept:
+        found = order.percentiles(rows.where(train), c, {"low": 0.25, "middle": 0.5, "high": 0.75})
+        out = out.crossJoin(F.broadcast(found.select(F.array("low", "middle", "high").alias(f"q_{c}"))))  # one row
         q = F.col(f"q_{c}")
         spread = F.when(q[2] > q[0], q[2] - q[0]).otherwise(F.lit(1.0))
         out = out.withColumn(f"{c}_missing", F.col(c).isNull().cast("int")).withColumn(f"{c}_scaled", F.round((F.coalesce(F.col(c), q[1]) - q[1]) / spread, 6))
@@ -129,19 +135,25 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, top: int) -> DataFrame:
 def regression_metrics(rows: DataFrame, actual: str, predicted: str, by: list[str]) -> DataFrame:
     """n, mae, rmse, medae, r2, bias, slope, intercept by group."""
     e = F.col(predicted) - F.col(actual)
-    out = rows.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(F.abs(e), F.lit(0.5)).alias("medae"), (1 - F.sum(e * e) / (F.var_pop(actual) * F.count(F.lit(1)))).alias("r2"), F.avg(e).alias("bias"), F.regr_slope(actual, predicted).alias("slope"), F.regr_intercept(actual, predicted).alias("intercept"))
+    both = rows.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
+    middle = order.percentiles(both.select(*by, F.abs(e).alias("orrery_error")), "orrery_error", {"medae": 0.5}, by)
+    middle = middle.select(*(F.col(k).alias(f"m_{k}") for k in by), "medae")
+    out = both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / (F.var_pop(actual) * F.count(F.lit(1)))).alias("r2"), F.avg(e).alias("bias"), F.regr_slope(actual, predicted).alias("slope"), F.regr_intercept(actual, predicted).alias("intercept"))
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"m_{k}"))
+    out = out.join(middle, same)
     return out.select(*by, "n", *(F.round(c, 6).alias(c) for c in ("mae", "rmse", "medae", "r2", "bias", "slope", "intercept")))
 
 
 def classification_metrics(rows: DataFrame, label: str, score: str, id_col: str, bins: int = 10, capacity: float = 0.1) -> DataFrame:
     """One row: n, prevalence, brier, ece (equal-frequency bins), roc_auc, average precision, precision and recall at capacity.
 
-    Ranks go by (score, id). They come from counts of the distinct (score, id) in order, which
-    is one global sort; sums and averages are partial aggregates.
+    Ranks go by (score, id), by ranges of them; sums and averages are partial aggregates.
     """
     base = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(F.col(label).cast("int").alias("y"), F.col(score).cast("double").alias("p"), F.col(id_col).alias("i"))
-    ranked = base.withColumn("up", F.row_number().over(Window.orderBy("p", "i"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())).withColumn("pos", F.sum("y").over(Window.partitionBy()))
-    ranked = ranked.withColumn("down", F.col("n") - F.col("up") + 1).withColumn("hits", F.sum("y").over(Window.orderBy(F.desc("p"), F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = order.running(base, ["p", "i"], below=F.col("y")).withColumnsRenamed({"rank": "up", "total_below": "pos"})
+    ranked = ranked.withColumn("down", F.col("n") - F.col("up") + 1).withColumn("hits", F.col("pos") - F.col("below") + F.col("y"))
     ranked = ranked.withColumn("bin", F.floor((F.col("up") - 1) * bins / F.col("n")))
     ece = ranked.groupBy("bin").agg(F.abs(F.avg("y") - F.avg("p")).alias("gap"), F.count(F.lit(1)).alias("c")).agg((F.sum(F.col("gap") * F.col("c")) / F.sum("c")).alias("ece"))
     top = F.ceil(F.col("n") * capacity)
@@ -175,7 +187,9 @@ def bootstrap(rows: DataFrame, entity: str, value: str, replicates: int, seed: s
 
 def interval(estimates: DataFrame, level: float = 0.95) -> DataFrame:
     tail = (1 - level) / 2
-    return estimates.agg(F.count("estimate").alias("replicates"), *(F.round(F.percentile("estimate", F.lit(q)), 6).alias(n) for n, q in (("low", tail), ("middle", 0.5), ("high", 1 - tail))))
+    n = estimates.agg(F.count("estimate").alias("replicates"))
+    found = order.percentiles(estimates, "estimate", {"low": tail, "middle": 0.5, "high": 1 - tail})
+    return n.crossJoin(F.broadcast(found)).select("replicates", *(F.round(c, 6).alias(c) for c in ("low", "middle", "high")))
 
 
 def holm(tests: DataFrame, id_col: str, p: str) -> DataFrame:
@@ -219,9 +233,12 @@ def subgroups(rows: DataFrame, a: str, b: str, value: Column, least: int) -> Dat
 def rewrite_sensitivity(pairs: DataFrame, rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """column, sensitivity: the median absolute shift of a column over pairs (a, b), in interquartile ranges of all rows."""
     met = pairs.join(rows.select(F.col(id_col).alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns)), "a").join(rows.select(F.col(id_col).alias("b"), *(F.col(c).alias(f"b_{c}") for c in columns)), "b")
-    shift = met.agg(*(F.percentile(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")), F.lit(0.5)).alias(c) for c in columns))
-    spread = rows.agg(*((F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))).alias(f"s_{c}") for c in columns))
-    one = shift.crossJoin(F.broadcast(spread))
+    one = None
+    for c in columns:
+        shift = order.percentiles(met.select(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")).alias("shift")), "shift", {c: 0.5})
+        spread = order.percentiles(rows, c, {"high": 0.75, "low": 0.25}).select((F.col("high") - F.col("low")).alias(f"s_{c}"))
+        both = shift.crossJoin(F.broadcast(spread))
+        one = both if one is None else one.crossJoin(F.broadcast(both))  # one row each
     return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.round(F.col(c) / F.nullif(F.col(f"s_{c}"), F.lit(0.0)), 6).alias("sensitivity")) for c in columns))).alias("r")).select("r.*")
 
 
@@ -245,19 +262,35 @@ def placebo(rows: DataFrame, day: str, value: str, cutoffs: Sequence[str]) -> Da
 
 
 def rank_correlation(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """by, n, spearman: the correlation of the ranks within a group, ties at their mean rank."""
+    """by, n, spearman: the correlation of the ranks within a group, ties at their mean rank.
+
+    Pairs of equal (by, a, b) are counted first and carry their weight, so a value that many rows share is one row.
+    """
 
-    def ranks(c: str) -> Column:
-        w = Window.partitionBy(*by)
-        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2.0
+    def ranks(c: str, name: str) -> DataFrame:
+        mean = F.col("first") + (F.col("c") + 1) / 2.0
+        return order.counted(cells, c, by).select(*(F.col(k).alias(f"{name}_{k}") for k in by), F.col(c).alias(f"{name}_x"), mean.alias(name))
 
-    out = rows.select(*by, ranks(a).alias("ra"), ranks(b).alias("rb"))
-    return out.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("ra", "rb"), 6).alias("spearman"))
+    cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b)
+    out = cells.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("w"))
+    for c, name in ((a, "ra"), (b, "rb")):
+        same = F.col(c) == F.col(f"{name}_x")
+        for k in by:
+            same = same & F.col(k).eqNullSafe(F.col(f"{name}_{k}"))
+        out = out.join(ranks(c, name), same)
+    w, x, y = F.col("w"), F.col("ra"), F.col("rb")
+    sums = out.groupBy(*by).agg(F.sum("w").alias("n"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * y).alias("xy"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"))
+    n = F.col("n")
+    cov, vx, vy = F.col("xy") / n - F.col("x") / n * F.col("y") / n, F.col("xx") / n - F.pow(F.col("x") / n, F.lit(2)), F.col("yy") / n - F.pow(F.col("y") / n, F.lit(2))
+    return sums.select(*by, "n", F.round(cov / F.nullif(F.sqrt(vx * vy), F.lit(0.0)), 6).alias("spearman"))
 
 
 def deciles(rows: DataFrame, predicted: str, actual: str, ties: list[str]) -> DataFrame:
-    """decile, n, predicted, actual: means over ten equal groups in the order of the prediction (one global sort)."""
-    out = rows.withColumn("decile", F.ntile(10).over(Window.orderBy(predicted, *ties)))
+    """decile, n, predicted, actual: means over ten groups in the order of the prediction; the first ones take a row more where ten don't divide all."""
+    k = F.col("rank") - 1
+    size, more = F.floor(F.col("n") / 10), F.col("n") % 10
+    wide = more * (size + 1)
+    out = order.running(rows, [predicted, *ties]).withColumn("decile", (F.when(k < wide, F.floor(k / (size + 1))).otherwise(more + F.floor((k - wide) / F.greatest(size, F.lit(1)))) + 1).cast("int"))
     return out.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg(predicted), 6) + 0.0).alias("predicted"), (F.round(F.avg(actual), 6) + 0.0).alias("actual"))
 
 
@@ -265,3 +298,11 @@ def relative_mae(rows: DataFrame, actual: str, predicted: str, baseline: str, by
     """by, n, relative_mae: the mean absolute error over that of a baseline; their decay is a difference of two groups."""
     e = lambda c: F.avg(F.abs(F.col(c) - F.col(actual)))
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(e(predicted) / F.nullif(e(baseline), F.lit(0.0)), 6).alias("relative_mae"))
+
+
+def confusion(rows: DataFrame, label: str, score: str, cut: float) -> DataFrame:
+    """tp, fp, fn, tn, precision, recall, specificity, f1 of calling scores of at least `cut` positive; null where nothing stands below the line."""
+    y, p = F.col(label).cast("int") == 1, F.col(score) >= cut
+    one = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
+    share = lambda a, b: F.round(F.col(a) / F.nullif(F.col(a) + F.col(b), F.lit(0)), 6)
+    return one.select("*", share("tp", "fp").alias("precision"), share("tp", "fn").alias("recall"), share("tn", "fp").alias("specificity"), F.round(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)), 6).alias("f1"))
