@@ -66,3 +66,14 @@ def manifest(tables: DataFrame, gates: DataFrame, **fields: str) -> str:
     """A release's manifest as canonical JSON."""
     verdicts = {r["gate"]: r["verdict"] for r in gates.collect()}
     return canonical_json({**fields, "release_digest": release_digest(tables), "gates": verdicts, "tables": {r["table"]: {"rows": r["n_rows"], "sha256": r["digest"]} for r in tables.collect()}})
+
+
+def record_hash(payload: Column, unknown: Column) -> Column:
+    """SHA-256 of the canonical JSON of a payload (map<string, string>) with the sorted paths of its unknown fields.
+
+    Keys are sorted, separators compact and nulls kept, so an unknown field in a part that isn't copied
+    still changes the hash. Control characters above U+0009 are escaped with upper-case digits.
+    """
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(payload)))
+    envelope = F.struct(ordered.alias("payload"), F.array_sort(unknown).alias("unknown_field_paths"))
+    return F.sha2(F.to_json(envelope, {"ignoreNullFields": "false"}), 256)

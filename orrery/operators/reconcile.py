@@ -72,3 +72,28 @@ def insert_new(old: DataFrame, new: DataFrame, id_columns: list[str]) -> DataFra
     """The new rows, with their deterministic id (of `cells`), that the old table doesn't have yet."""
     made = new.withColumn("row_id", F.sha2(cells(id_columns), 256))
     return made.dropDuplicates(["row_id"]).join(old.select("row_id"), "row_id", "left_anti")
+
+
+def reconcile_index(index: DataFrame, derived: DataFrame, key: str, line: str, fields: dict[str, str], problem: Column, usable: Column, plan: DataFrame, instance: str, satisfied: Column) -> DataFrame:
+    """part, instance, key, state: one row an outcome of comparing an index with derived records; nothing is merged or dropped.
+
+    instance: a planned index that wasn't read, `unavailable`. malformed: an index row without a key or
+    with a problem, `indeterminate`. duplicate: each further row of a key, `matching` or `conflicting` by its
+    first row (by line, then fields). joined: the first rows against the derived records, as in `reconcile`.
+    Rows equal in all of these columns are counted before they meet, so a hot key costs its distinct rows.
+    """
+    none = F.lit(None).cast("string")
+    missing = plan.where(~F.coalesce(satisfied, F.lit(False))).select(F.lit("instance").alias("part"), F.col(instance).cast("string").alias("instance"), none.alias(key), F.lit("unavailable").alias("state"))
+    marked = index.withColumn("orrery_bad", F.coalesce(problem, F.lit(False)) | F.col(key).isNull() | (F.col(key).cast("string") == ""))
+    malformed = marked.where("orrery_bad").select(F.lit("malformed").alias("part"), none.alias("instance"), F.col(key).cast("string").alias(key), F.lit("indeterminate").alias("state"))
+    entry = F.struct(line, *fields)
+    counts = marked.where("NOT orrery_bad").groupBy(F.col(key), entry.alias("row")).agg(F.count(F.lit(1)).alias("c"))
+    first = counts.groupBy(key).agg(F.min("row").alias("one"), F.sum("c").alias("n"))
+    many = first.where("n > 1").select(F.col(key).alias("orrery_key"), "one")
+    again = counts.join(many, F.col(key) == F.col("orrery_key")).withColumn("c", F.col("c") - (F.col("row") == F.col("one")).cast("int")).where("c > 0")
+    differ = compare([(F.col(f"row.{f}"), F.col(f"one.{f}")) for f in fields])
+    again = again.select(F.col(key).cast("string").alias(key), F.when(differ, "conflicting").otherwise("matching").alias("state"), F.explode(F.sequence(F.lit(1).cast("long"), "c")))
+    again = again.select(F.lit("duplicate").alias("part"), none.alias("instance"), key, "state")
+    joined = reconcile(first.select(key, *(F.col(f"one.{f}").alias(f) for f in fields)), derived, key, fields, usable, ("index_only", "derived_only"))
+    joined = joined.select(F.lit("joined").alias("part"), none.alias("instance"), F.col(key).cast("string").alias(key), "state")
+    return missing.unionByName(malformed).unionByName(again).unionByName(joined)

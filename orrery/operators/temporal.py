@@ -105,3 +105,32 @@ def supersession(rows: DataFrame, key: str, order: list[str], digest: str) -> Da
     w = Window.partitionBy(key).orderBy(*order)
     out = rows.withColumn("previous", F.lag(digest).over(w))
     return out.withColumn("verdict", F.when(F.col("previous").isNull(), "first").when(F.col("previous") == F.col(digest), "unchanged").otherwise("superseded"))
+
+
+def boundary(filed: Column, accepted_day: Column, accepted_time: Column) -> Column:
+    """struct<precision, basis>: an exact instant only for acceptance on the day of filing; none is made up otherwise."""
+    none, same = accepted_day.isNull() | accepted_time.isNull(), accepted_day == filed
+    precision = F.when(none | ~same, "date").otherwise("timestamp")
+    return F.struct(precision.alias("precision"), F.when(none, "filing_date_only").when(same, "same_day_acceptance").otherwise("later_official_filing_date").alias("basis"))
+
+
+def divergence_audit(rows: DataFrame, form: Column, amendment: Column, filed: Column, accepted: Column, rule: Column, crossing: Column, coverage: Column, in_test: Column, approved: Column) -> tuple[DataFrame, DataFrame]:
+    """(counts, gates) over filings with two dates: dimension, value, n; and gate, verdict.
+
+    Dimensions: total (accessions, diverging, crossings, coverage, unexplained, unapproved_test) and reason
+    over all filings; form, kind, accepted_year and filed_year over those whose dates differ. Rows are counted by
+    all of their values first, so the rest works on combinations. A gate fails by one row that breaks it.
+    """
+    off = lambda c: F.coalesce(c, F.lit(False))
+    diverging = off(accepted != filed)
+    parts = {"form": form, "kind": F.when(off(amendment), "amendment").otherwise("original"), "accepted_year": F.year(accepted).cast("string"), "filed_year": F.year(filed).cast("string")}
+    unexplained = off(rule == "unexplained") | off(coverage)
+    flags = {"diverging": diverging, "crossings": off(crossing), "coverage": off(coverage), "unexplained": unexplained, "unapproved_test": off(in_test) & ~off(approved)}
+    combos = rows.groupBy(rule.alias("reason"), *(c.alias(k) for k, c in parts.items()), *(c.alias(f"is_{k}") for k, c in flags.items())).agg(F.count(F.lit(1)).alias("c"))
+    pair = lambda d, v: F.struct(F.lit(d).alias("dimension"), v.cast("string").alias("value"))
+    named = [pair("total", F.lit("accessions")), pair("reason", F.col("reason")), *(F.when(F.col(f"is_{k}"), pair("total", F.lit(k))) for k in flags), *(F.when(F.col("is_diverging") & F.col(k).isNotNull(), pair(k, F.col(k))) for k in parts)]
+    counts = combos.select("c", F.explode(F.array_compact(F.array(*named))).alias("p")).groupBy("p.dimension", "p.value").agg(F.sum("c").alias("n"))
+    broken = {"divergence_explained": "unexplained", "boundary_review": "crossings", "coverage_divergence": "coverage", "test_membership_approved": "unapproved_test"}
+    one = combos.agg(*(F.coalesce(F.max(F.col(f"is_{k}") | (F.col("is_coverage") if k == "crossings" else F.lit(False))), F.lit(False)).alias(k) for k in flags))
+    gates = one.select(F.explode(F.array(*(F.struct(F.lit(g).alias("gate"), F.when(F.col(k), "fail").otherwise("pass").alias("verdict")) for g, k in broken.items()))).alias("g")).select("g.*")
+    return counts, gates

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import entities, resolution, selection, stores, studies, verdicts
+from orrery.plans import audits, entities, resolution, selection, stores, studies, verdicts
 
-MODULES = (resolution, entities, selection, studies, verdicts, stores)
+MODULES = (resolution, entities, selection, studies, verdicts, stores, audits)
 
 
 def queries() -> dict:
